@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, pii, sharding
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_sharding": sharding.op5_sharding,
+    "op7_pii": pii.op7_pii,
 }
 
 ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL}
