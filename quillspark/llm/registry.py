@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, sharding
+from . import mixing, pii, sharding, tokens
 
 QUERIES = {
+    "op2_tokens": tokens.op2_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op5_sharding": sharding.op5_sharding,
     "op7_pii": pii.op7_pii,
