@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, sharding, tokens
+from . import langid, mixing, pii, quality, sharding, tokens
 
 QUERIES = {
     "op2_tokens": tokens.op2_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op5_sharding": sharding.op5_sharding,
+    "op6_language": langid.op6_language,
     "op7_pii": pii.op7_pii,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL}
