@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, quality, sharding, tokens
+from . import langid, mixing, pii, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op2_tokens": tokens.op2_tokens,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_language": langid.op6_language,
     "op7_pii": pii.op7_pii,
+    "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
 }
 
