@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, quality, sharding, simhash, tokens
+from . import embeddings, langid, mixing, pii, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op2_tokens": tokens.op2_tokens,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
+    "op10_embeddings": embeddings.op10_embeddings,
 }
 
 ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL}
