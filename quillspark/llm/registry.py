@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, mixing, pii, quality, sharding, simhash, tokens
+from . import decontaminate, embeddings, langid, mixing, pii, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op2_tokens": tokens.op2_tokens,
     "op3_mixing": mixing.op3_mixing,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
     "op6_language": langid.op6_language,
     "op7_pii": pii.op7_pii,
