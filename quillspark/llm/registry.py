@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, langid, mixing, pii, quality, sharding, simhash, tokens
+from . import decontaminate, embeddings, langid, mixing, pii, pitman_yor, quality, sharding, simhash, tokens
 
 QUERIES = {
+    "op1_pitman_yor": pitman_yor.op1_pitman_yor,
     "op2_tokens": tokens.op2_tokens,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": decontaminate.op4_decontamination,
