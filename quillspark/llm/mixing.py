@@ -57,7 +57,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = 3,
 
 def emitted(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = 3, seed: int = 17) -> DataFrame:
     """The mix itself: every document as often as its copies say, in the columns of docs."""
-    return mix(docs, weights, max_repeat, seed).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).where("copies > 0").select(*docs.columns)
+    mixed = mix(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row")), weights, max_repeat, seed)
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,17 +226,34 @@ def _hot_links(probes: DataFrame, index: DataFrame, distance: int) -> DataFrame:
     return left.unionByName(right).groupBy("part", "key", "i", "j").applyInPandas(compare, "by long, fp long")
 
 
+def _groups(marked: DataFrame, distance: int) -> DataFrame:
+    """(fp, rep, component_id) of marked(doc_id, fp): of each distinct fingerprint the smallest doc_id of its own rows
+    and of its component, with root, the component's name among fingerprints."""
+    named = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    member = components(links(named.select("fp"), distance)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    # Components run on fingerprints; each takes the smallest document of its fingerprints.
+    whole = member.join(named, "fp").groupBy("root").agg(F.min("rep").alias("least"))
+    of = member.join(whole, "root")
+    return named.join(of, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id"))
+
+
 def cluster(docs: DataFrame, text: str = "text", words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
     """docs(doc_id, text): one row a document with fp (signed long) and component_id (smallest doc_id reachable)."""
     marked = stored(docs.select("doc_id", fingerprint(F.col(text), words, seed).alias("fp")), "fingerprints")
-    named = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    pairs = links(named.select("fp"), distance)
-    # Components run on fingerprints; each takes the smallest document of its fingerprints.
-    member = components(pairs)
-    whole = member.join(named, member["node"] == named["fp"]).groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = member.join(whole, "component").select(F.col("node").alias("fp"), "component_id")
-    final = named.join(of, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return marked.join(final, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(_groups(marked, distance).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, or any of a component without doc_ids.
+
+    Texts move once, by doc_id and fingerprint, so a large group of copies is spread before all but one row go.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("fp", fingerprint(F.col("row")[text], words, seed))
+    marked = stored(rows.select("row.doc_id", "fp"), "fingerprints")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("rep"), F.col("fp").alias("fp"))).alias("first")
+    chosen = _groups(marked, distance).groupBy("root").agg(first).select(F.col("first.rep").alias("rep"), F.col("first.fp").alias("chosen"))
+    kept = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("rep")) & (F.col("fp") == F.col("chosen")))
+    return kept.dropDuplicates(["rep", "chosen"]).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
