@@ -1 +1 @@
-
+"""Registered queries over the test tables, with their SQL."""

@@ -1 +1 @@
-
+"""Sources: Word documents, seed questions, model responses."""
