@@ -120,7 +120,7 @@ def media_extension(name: Column) -> Column:
 def media_type(name: Column) -> Column:
     """Content type by extension."""
     ext, out = media_extension(name), F.lit("application/octet-stream")
-    for kind, names in {"image/png": ("png",), "image/jpeg": ("jpg", "jpeg"), "image/gif": ("gif",), "image/bmp": ("bmp",), "image/webp": ("webp",), "image/x-emf": ("emf",), "image/x-wmf": ("wmf",)}.items():
+    for kind, names in {"image/png": ("png",), "image/jpeg": ("jpg", "jpeg"), "image/gif": ("gif",), "image/bmp": ("bmp",), "image/webp": ("webp",), "image/emf": ("emf",), "image/wmf": ("wmf",)}.items():
         out = F.when(ext.isin(*names), F.lit(kind)).otherwise(out)
     return out
 

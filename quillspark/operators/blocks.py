@@ -42,27 +42,27 @@ def clamped_substring(text, start, end):
     return F.substring(text, at + 1, F.greatest(F.least(end, F.length(text)), F.lit(0)) - at)
 
 
-def counters(numbered: DataFrame, levels: DataFrame) -> DataFrame:
+def counters(numbered: DataFrame, levels: DataFrame, depth: int = MAX_LEVEL) -> DataFrame:
     """numbered(doc_id, ordinal, num_id, level) with display_text: list counters rendered into their templates.
 
     A row's counter counts the rows of its level since the last row of a lower one, in the same list. An ancestor's
-    value is its last counter while no lower level came between, else its start.
+    value is its last counter while no lower level came between, else its start. depth bounds the levels that occur.
     """
     levels = levels.select("doc_id", "num_id", "level", "num_fmt", "lvl_text", F.coalesce("start", F.lit(1)).alias("start"))
     own = levels.withColumnsRenamed({"num_fmt": "_fmt", "lvl_text": "_template", "start": "_start"})
     rows = numbered.join(own, ["doc_id", "num_id", "level"], "left")
     order = Window.partitionBy("doc_id", "num_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_below{k}": F.count_if(F.col("level") < k).over(order) for k in range(MAX_LEVEL)})
-    below = F.element_at(F.array(*[f"_below{k}" for k in range(MAX_LEVEL)]), F.least(F.col("level"), F.lit(MAX_LEVEL - 1)) + 1)
+    rows = rows.withColumns({f"_below{k}": F.count_if(F.col("level") < k).over(order) for k in range(depth)})
+    below = F.element_at(F.array(*[f"_below{k}" for k in range(depth)]), F.least(F.col("level"), F.lit(depth - 1)) + 1)
     island = Window.partitionBy("doc_id", "num_id", "level", "_island").orderBy("ordinal")
     rows = rows.withColumn("_island", below).withColumn("counter", F.row_number().over(island) + F.coalesce("_start", F.lit(1)) - 1)
-    for k in range(MAX_LEVEL):
+    for k in range(depth):
         since = Window.partitionBy("doc_id", "num_id", f"_below{k}").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn(f"_value{k}", F.last(F.when(F.col("level") == k, F.col("counter")), ignorenulls=True).over(since))
     wide = levels.groupBy("doc_id", "num_id").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("num_fmt", "start")))).alias("_levels"))
     rows = rows.join(wide, ["doc_id", "num_id"], "left")
     values = []
-    for k in range(MAX_LEVEL):
+    for k in range(depth):
         level = F.element_at("_levels", F.lit(k))
         # a level deeper than the row's has been reset
         value = F.coalesce(F.when(F.col("level") >= k, F.col(f"_value{k}")), level["start"], F.lit(1))

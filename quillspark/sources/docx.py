@@ -218,7 +218,8 @@ def parse(data: bytes) -> dict:
     media, ids = [], {}
     for rel, target in targets.items():
         name = target.replace("\\", "/")
-        path = name if name.startswith("word/media/") else f"word/{name}" if name.startswith("media/") or not name.lstrip("/").startswith("word/") and not name.startswith("/") else name.lstrip("/") if name.lstrip("/").startswith("word/") else "word/" + name.lstrip("/")
+        bare = name.lstrip("/")
+        path = name if name.startswith("word/media/") else f"word/{name}" if name.startswith("media/") else bare if bare.startswith("word/") else f"word/{bare}"
         content = next((files[p] for p in (path, f"word/{path}", path.removeprefix("word/")) if p in files), None)
         if content is None:
             warnings.append(f"图片 rId={rel} 目标 {target} 在 ZIP 中未找到")
