@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +35,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, n: int):
+    """Actions inside send rows to Python in batches of n."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def text_batches(spark: SparkSession, n: int = 1000) -> None:
+    """Texts go to Python in batches of at most n rows from now on: a default batch of long ones is too much."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= n:
+        spark.conf.set(_BATCH, n)
+
+
+def release() -> None:
+    """Gives a Python worker's freed memory back to the system: workers outlive their tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def input_bytes(df: DataFrame, *columns: str) -> int:
     """Bytes of the given text columns, counted over all rows."""
     total = sum((F.coalesce(F.octet_length(c).cast("long"), F.lit(0)) for c in columns), F.lit(0).cast("long"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, release, text_batches
 
 SHINGLE, OVERLAP, THRESHOLD = 5, 0.8, 0.5
 HALF, SHARD_ITEMS, BLOCKS = 64, 20_000, 32
@@ -165,6 +165,7 @@ def _finder(index, threshold: float, overlap: float):
         for texts in parts:
             hits = index.value.search(list(texts), threshold, overlap)
             yield pd.Series([[dict(zip(("item_id", "score", "overlap", "answer_overlap"), h, strict=True)) for h in own] for own in hits], dtype=object)
+        release()
 
     return found
 
@@ -173,6 +174,7 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", threshold: flo
     """docs with hits, an array of the verified items(item_id, text) of each."""
     shards = max(1, -(-items.count() // shard_items))
     out = docs.drop("hits")
+    text_batches(docs.sparkSession)
     for shard in range(shards):
         own = items.where(F.pmod(F.xxhash64(F.col("item_id"), F.col("text")), F.lit(shards)) == shard).select("item_id", "text").orderBy("item_id", "text").collect()
         index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own if r["item_id"] is not None]))

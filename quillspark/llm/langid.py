@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, release, text_batches
 
 PER_LANGUAGE = 1_500
 ORDER = 4
@@ -145,10 +145,12 @@ class Model:
     def identify(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """docs with lang_pred, score and rejected."""
         model = self
+        text_batches(docs.sparkSession)
 
         @F.pandas_udf("lang_pred string, score double, rejected boolean")
         def found(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             yield from model.predict(list(x) for x in parts)
+            release()
 
         return docs.withColumn("_found", found(F.col(text))).select(*[c for c in docs.columns if c not in ("lang_pred", "score", "rejected")], "_found.*")
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stored
+from .common import load, release, stored, text_batches
 
 MAX_LABELS = 20_000
 _SYMBOLS = np.zeros(256, bool)
@@ -77,12 +77,14 @@ class Model:
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """docs with score (0 to 1) and predicted (1 from 0.5)."""
         model = self
+        text_batches(docs.sparkSession)
 
         @F.pandas_udf("double")
         def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in parts:
                 x = np.array([statistics(t) for t in texts], dtype=float).reshape(-1, WIDTH)
                 yield pd.Series(model.predict(x))
+            release()
 
         return docs.withColumn("score", scored(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, load, stored
+from .common import components, load, release, stored, text_batches
 
 WORDS, DISTANCE, SEED = 4, 4, 42
 HOT, BLOCK, SAMPLE = 64, 2048, 2048
@@ -89,6 +89,7 @@ def fingerprint(text, words: int = WORDS, seed: int = SEED):
     def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series(fingerprints(list(texts), words, seed).view(np.int64))
+        release()
 
     return made(text)
 
@@ -239,6 +240,7 @@ def _groups(marked: DataFrame, distance: int) -> DataFrame:
 
 def cluster(docs: DataFrame, text: str = "text", words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
     """docs(doc_id, text): one row a document with fp (signed long) and component_id (smallest doc_id reachable)."""
+    text_batches(docs.sparkSession)
     marked = stored(docs.select("doc_id", fingerprint(F.col(text), words, seed).alias("fp")), "fingerprints")
     return marked.join(_groups(marked, distance).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -246,14 +248,20 @@ def cluster(docs: DataFrame, text: str = "text", words: int = WORDS, distance: i
 def deduplicate(docs: DataFrame, text: str = "text", words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, or any of a component without doc_ids.
 
-    Texts move once, by doc_id and fingerprint, so a large group of copies is spread before all but one row go.
+    Texts move once, by doc_id, so a large group of copies is spread before all but one row go. Only rows that share
+    their doc_id with others are told apart by their fingerprints again.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("fp", fingerprint(F.col("row")[text], words, seed))
-    marked = stored(rows.select("row.doc_id", "fp"), "fingerprints")
+    text_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    marked = stored(rows.select("row.doc_id", fingerprint(F.col("row")[text], words, seed).alias("fp")), "fingerprints")
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("rep"), F.col("fp").alias("fp"))).alias("first")
     chosen = _groups(marked, distance).groupBy("root").agg(first).select(F.col("first.rep").alias("rep"), F.col("first.fp").alias("chosen"))
-    kept = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("rep")) & (F.col("fp") == F.col("chosen")))
-    return kept.dropDuplicates(["rep", "chosen"]).select("row.*")
+    shared = marked.groupBy("doc_id").agg((F.count("*") > 1).alias("shared"))
+    chosen = stored(chosen.join(shared, chosen["rep"].eqNullSafe(shared["doc_id"])).select("rep", "chosen", (F.col("shared") | F.col("rep").isNull()).alias("shared")), "chosen")
+    alone = rows.join(chosen.where("NOT shared"), F.col("row.doc_id") == F.col("rep"), "left_semi")
+    several = rows.join(chosen.where("shared"), F.col("row.doc_id").eqNullSafe(F.col("rep")))
+    several = several.where(fingerprint(F.col("row")[text], words, seed) == F.col("chosen")).dropDuplicates(["rep", "chosen"]).select("row")
+    return alone.unionByName(several).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dac
-from .common import load, shared_dir
+from .common import load, release, shared_dir, text_batches
 
 END_ID = 2
 SEGMENT = 1_000_000
@@ -40,7 +40,7 @@ class Encoder:
     it changes speed only.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -164,12 +164,15 @@ def _pack(path: str, end_id: int, segment: int):
                 seq, begun, ids, docs, ends, n = seq + 1, begun + n, [], [], [], 0
         if docs:
             yield row()
+        del encoder
+        release()
 
     return pack
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, segment: int = SEGMENT) -> None:
     """Encodes docs(doc_id, text) in ascending doc_id order into a table of segments at folder."""
+    text_batches(docs.sparkSession)
     # The text's hash splits a doc_id that holds many rows; equal documents are interchangeable.
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered.mapInPandas(_pack(tokenizer_path, end_id, segment), SCHEMA).write.parquet(folder)
