@@ -109,4 +109,4 @@ def test_documents_in_parallel_and_a_retry(spark):
     after = S.retry(frame(spark, [r if r[1] != "s2" else (*r[:4], r[4] + "\n答案：B", *r[5:]) for r in rows]), found, failed, lambda r: (client(r)[0].replace('"answer": ["A"]', '"answer": ["B"]'), None), "k")
     got = {r.doc_id: r for r in after["report"].collect()}
     assert (got["a"].accepted, got["a"].rejected, got["a"].ledger_complete) == (2, 0, True) and (got["b"].accepted, got["b"].rejected) == (1, 1)
-    assert sorted((r.doc_id, r.index, r.question) for r in after["questions"].collect()) == [("a", 0, "Q"), ("a", 1, "R"), ("b", 0, "Q")]
+    assert sorted((r.doc_id, r["index"], r.question) for r in after["questions"].collect()) == [("a", 0, "Q"), ("a", 1, "R"), ("b", 0, "Q")]
