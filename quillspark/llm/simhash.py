@@ -258,10 +258,12 @@ def deduplicate(docs: DataFrame, text: str = "text", words: int = WORDS, distanc
     chosen = _groups(marked, distance).groupBy("root").agg(first).select(F.col("first.rep").alias("rep"), F.col("first.fp").alias("chosen"))
     shared = marked.groupBy("doc_id").agg((F.count("*") > 1).alias("shared"))
     chosen = stored(chosen.join(shared, chosen["rep"].eqNullSafe(shared["doc_id"])).select("rep", "chosen", (F.col("shared") | F.col("rep").isNull()).alias("shared")), "chosen")
-    alone = rows.join(chosen.where("NOT shared"), F.col("row.doc_id") == F.col("rep"), "left_semi")
-    several = rows.join(chosen.where("shared"), F.col("row.doc_id").eqNullSafe(F.col("rep")))
-    several = several.where(fingerprint(F.col("row")[text], words, seed) == F.col("chosen")).dropDuplicates(["rep", "chosen"]).select("row")
-    return alone.unionByName(several).select("row.*")
+    kept = rows.join(chosen.where("NOT shared"), F.col("row.doc_id") == F.col("rep"), "left_semi")
+    if chosen.where("shared").head(1):
+        several = rows.join(chosen.where("shared"), F.col("row.doc_id").eqNullSafe(F.col("rep")))
+        several = several.where(fingerprint(F.col("row")[text], words, seed) == F.col("chosen")).dropDuplicates(["rep", "chosen"]).select("row")
+        kept = kept.unionByName(several)
+    return kept.select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
