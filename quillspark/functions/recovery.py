@@ -110,9 +110,11 @@ def inline(line: str) -> tuple[str, list[tuple[str, str]]] | None:
             chosen.append(m)
         elif step > 1:
             break
+    if len(chosen) < 2:
+        return None
     ends = [m.start() for m in chosen[1:]] + [len(line)]
     found = [(m[1].upper(), t) for m, e in zip(chosen, ends, strict=True) if (t := line[m.end() : e].strip())]
-    return (line[: chosen[0].start()].strip(), found) if len(chosen) > 1 and len(found) > 1 else None
+    return (line[: chosen[0].start()].strip(), found) if len(found) > 1 else None
 
 
 def options(kind: str, value) -> list[dict]:
