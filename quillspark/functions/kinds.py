@@ -28,9 +28,14 @@ def mode(route: Column) -> Column:
     return F.when(route.isin(*MODES), route).otherwise(F.lit("sequential"))
 
 
-def model_tier(name: Column) -> Column:
-    """A model's tier by its name: names with "pro" or "reasoner" are the strong one."""
-    return F.when(F.lower(name).rlike("pro|reasoner"), F.lit("pro")).otherwise(F.lit("fast"))
+def model_tier(stored: Column) -> Column:
+    """The stored model tier; unknown values mean the quick one."""
+    return F.when(stored == "high_quality", F.lit("high_quality")).otherwise(F.lit("quick"))
+
+
+def model_name(stored: Column, catalog: dict[str, str]) -> Column:
+    """The model of a tier, by a catalog of tier to name."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in sorted(catalog.items()) for x in pair]), model_tier(stored))
 
 
 def clamp(c: Column, low, high) -> Column:

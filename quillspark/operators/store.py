@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ledger, practice, sets
+from . import practice, sets
 
 OPTIONS = "array<struct<key:string,text:string,image:string,image_uri:string,image_uris:array<string>>>"
 #: Columns of each table, its key, and the tables that lose their rows with it: (table, column that refers to the key).
@@ -180,6 +180,13 @@ class Store:
         return target
 
 
+def migrated_questions(rows: DataFrame, version: int) -> DataFrame:
+    """Questions of an older schema version with the columns that came since: an image in 2, a list of images in 3."""
+    if version < 2:
+        rows = rows.withColumn("image_uri", F.lit(None).cast("string"))
+    return rows.withColumn("image_uris_json", F.lit("[]")) if version < 3 else rows
+
+
 def image_paths(questions: DataFrame) -> DataFrame:
     """(bank_id, path): images of stems and options, blank ones left out."""
     none = F.array().cast("array<string>")
@@ -214,5 +221,3 @@ def stored_rows(questions: DataFrame) -> DataFrame:
     """Questions with their lists as JSON, answers upper-cased and sorted."""
     return questions.withColumns({"options_json": F.to_json("options"), "answer_json": F.to_json(F.array_sort(F.transform("answer", F.upper))), "image_uris_json": F.to_json("image_uris")}).drop("options", "answer", "image_uris")
 
-
-__all__ = ["Store", "image_paths", "relocated", "contained", "question_rows", "stored_rows", "ledger"]

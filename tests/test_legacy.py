@@ -58,3 +58,11 @@ def test_plain_text(spark):
     rows = G.plain_questions(spark.createDataFrame([("d", text)], "doc_id string, text string")).orderBy("piece").collect()
     got = [r.question and (r.question.original_id, r.question.kind, r.question.question, [tuple(o) for o in r.question.options], r.question.answer, r.question.explanation) for r in rows]
     assert got == [(1, "single", "Q one", [("A", "x"), ("B", "y")], ["A"], "e\nmore"), (2, "multiple", "Q two", [("A", "x\nstill x"), ("B", "y")], ["A", "B"], None), (3, "truefalse", "Q three", [("A", "对"), ("B", "错")], ["A"], None), None]
+
+
+def test_dumps(spark):
+    from quillspark.operators import dump
+
+    cut = G.segments(blocks(spark, "Title", "1. Q", "A. x"))
+    row = dump.segments(cut, G.emitted_signals(cut)).first()
+    assert row.summary == "1 segments, 1 unassigned, 3 signals" and json.loads(row.json)["unassigned"][0]["source_id"] == "s0"

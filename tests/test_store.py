@@ -99,3 +99,10 @@ def test_requests_as_rows(spark):
     rows = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, request string")
     done = model.completed(model.uncached(rows, spark.createDataFrame([("a", "x")], "key string, content string")), lambda r: str(1 // (int(r) - 2)))
     assert [(r.key, r.content, "division" in r.error) for r in done.collect()] == [("b", None, True)]
+
+
+def test_older_questions_keep_their_rows(spark):
+    old = spark.createDataFrame([("[]", '["A"]')], "options_json string, answer_json string")
+    for version in (1, 2):
+        row = K.question_rows(K.migrated_questions(old if version == 1 else old.withColumn("image_uri", F.lit("p")), version)).first()
+        assert row.answer == ["A"] and row.image_uris == ([] if version == 1 else ["p"])
