@@ -5,7 +5,7 @@
    compared with the next ``window`` classes of the order. Orders come from range partitions; comparing is blockwise.
    The number of passes follows the number of classes: enough that a pair at the threshold meets in some window with
    the wanted probability.
-3. Verified pairs of all passes are united into components by alternating stars. A block emits a spanning forest.
+3. Verified pairs of all passes are united into components by alternating stars. A block emits a star over each connected part.
 4. Links are then counted exactly inside each component, blocks against blocks, so dense groups wider than the window
    lose none: the count needs no pairs and no cap.
 
@@ -99,7 +99,7 @@ def _orders(classes: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def _windows(classes: DataFrame, orders: DataFrame, threshold: float, window: int) -> DataFrame:
-    """Links (a, b) found in the windows: per block, a spanning forest of them."""
+    """Links (a, b) found in the windows: per block, a star over each part that they connect."""
     step = max(BLOCK, window)
     placed = orders.join(classes.select("class_id", "embedding"), "class_id")
     own = F.floor(F.col("rank") / step)

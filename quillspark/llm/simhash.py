@@ -9,8 +9,8 @@ A fingerprint holds, bit by bit, the majority over the XXH64 of all word shingle
    estimated from the sample and the number of fingerprints. Every number of parts is tried.
 3. Each fingerprint indexes its masked parts and probes all variants within the thresholds: an equi-join on
    (part, masked bits). Candidates are verified by the number of differing bits inside the join.
-4. Keys that many fingerprints share are compared in blocks against blocks; a block pair emits a spanning forest of its
-   links, never all pairs, and nothing is left out.
+4. Keys that many fingerprints share are compared in blocks against blocks; a block pair emits one star over each part
+   that its links connect, never all pairs, and nothing is left out.
 5. Links become components by alternating stars; copies only meet through their one fingerprint.
 
 Defined cases: null or empty texts have fingerprint zero and are linked like others; texts below the shingle's words
@@ -165,7 +165,7 @@ def _signed(x: int) -> int:
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
+    """Edges of a star over each connected part of a symmetric boolean matrix."""
     left, out = np.ones(len(linked), bool), []
     for root in np.flatnonzero(linked.any(1)):
         if not left[root]:
