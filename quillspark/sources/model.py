@@ -69,7 +69,3 @@ def uncached(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests that the cache(key, content) of successful replies does not hold."""
     return requests.join(cache, "key", "left_anti")
 
-
-def model_tier_prompt(tier: str) -> int:
-    """Output limit by what is asked."""
-    return MOST_TOKENS.get(tier, MOST_TOKENS["document"])
