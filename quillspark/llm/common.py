@@ -28,10 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """df written once to the shared folder and read again: cuts lineage, survives lost executors.
+
+    Columns that are packed already go with compression none: a codec would hold buffers as large as their values.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
