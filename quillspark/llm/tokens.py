@@ -11,6 +11,7 @@ written as often as they occur; an empty table gives an empty file. Whole texts
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import uuid
@@ -31,16 +32,27 @@ SEGMENT = 1_000_000
 SCHEMA = "part int, seq int, start_in_part long, n_tokens long, doc_ids array<bigint>, doc_ends array<bigint>, codes binary"
 
 
+#: Longer pieces are not kept: their texts are encoded whole.
+LONGEST = 256
+#: Punctuation that is one pre-token with its like behind a letter; the apostrophe, which opens contractions, is not.
+TAIL = ".,;:!?*#$%&)]}\""
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """A tokenizer with a cache of its results for space-separated pieces.
 
     Byte-level BPE never merges across a space between two other characters, so a text is the concatenation of its
     pieces, each with the space before it, unless a piece is white space only; such texts are encoded whole. New pieces
-    are encoded in one string: a token that starts with a space starts a piece. The cache is emptied when it is full;
-    it changes speed only.
+    are encoded in one string: a token that starts with a space starts a piece. The cache changes speed only.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,14 +68,14 @@ class Encoder:
 
         class Codes(dict):
             def __missing__(self, key: str) -> int:
-                if key.isspace():
+                if key.isspace() or len(key) > LONGEST:
                     return -1
                 waiting.append(key)
                 self[key] = code = len(self)
                 return code
 
-        self.codes, self.waiting, self.chars = Codes(), waiting, 0
-        self.flat, self.starts, self.sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.codes, self.waiting = Codes(), waiting
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,32 +83,47 @@ class Encoder:
         return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
 
     def _add(self) -> None:
-        """Encodes what waits, in the order of its codes."""
+        """Encodes what waits. Letters and the punctuation behind them are apart for the tokenizer, so a piece that ends
+        in punctuation is put together from two others."""
         if not self.waiting:
             return
+        first, look, joined = len(self.codes) - len(self.waiting), self.codes.__getitem__, []
+        simple: list[int] = []
+        keys: list[str] = []
+        for code, key in enumerate(self.waiting, first):  # grows while it is read: parts wait too
+            bare = key.rstrip(TAIL)
+            if len(bare) < len(key) and bare[-1:].isalpha():
+                joined.append((code, look(bare), look(key[len(bare) :])))
+            else:
+                simple.append(code)
+                keys.append(key)
         runs = []  # a piece without the space, or the start of a text, opens a string of its own
-        for key in self.waiting:
+        for key in keys:
             if key[:1] == " " and runs and len(runs[-1]) < 512 and runs[-1][0][:1] == " ":
                 runs[-1].append(key)
             else:
                 runs.append([key])
         ids, lengths = self._ids(["".join(r) for r in runs])
-        first = self.opens[ids]
-        first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        inner = np.repeat(np.fromiter((len(r) == 1 for r in runs), bool, len(runs)), lengths)
-        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        first &= ~inner | (np.arange(len(ids)) == starts)
-        at = np.flatnonzero(first)
+        begins = (np.cumsum(lengths) - lengths)[lengths > 0]
+        single = np.repeat(np.fromiter((len(r) == 1 for r in runs), bool, len(runs)), lengths)
+        opens = self.opens[ids] & ~single
+        opens[begins] = True
+        at = np.flatnonzero(opens)
         sizes = np.diff(at, append=len(ids))
         if (empty := np.flatnonzero(lengths == 0)).size:  # the piece of an empty text
             before = np.cumsum([len(r) for r in runs]) - [len(r) for r in runs]
             sizes = np.insert(sizes, before[empty] - np.arange(len(empty)), 0)
-        held = sum(map(len, self.flat))
-        self.starts.append(held + np.cumsum(sizes) - sizes)
-        self.sizes.append(sizes)
-        self.flat.append(ids)
-        self.flat, self.starts, self.sizes = ([np.concatenate(x)] for x in (self.flat, self.starts, self.sizes))
-        self.chars += sum(map(len, self.waiting))
+        held = len(self.flat)
+        starts, all_sizes = (np.concatenate([x, np.zeros(len(self.codes) - first, np.int64)]) for x in (self.starts, self.sizes))
+        starts[simple], all_sizes[simple] = held + np.cumsum(sizes) - sizes, sizes
+        flat = np.concatenate([self.flat, ids])
+        if joined:
+            code, one, two = np.array(joined).T
+            all_sizes[code] = all_sizes[one] + all_sizes[two]
+            parts = np.stack([one, two], axis=1).ravel()
+            starts[code] = len(flat) + np.cumsum(all_sizes[code]) - all_sizes[code]
+            flat = np.concatenate([flat, flat[_places(starts[parts], all_sizes[parts])]])
+        self.flat, self.starts, self.sizes = flat, starts, all_sizes
         self.waiting.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +137,9 @@ class Encoder:
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         at = np.array(codes, dtype=np.int64)
-        sizes = np.where(at < 0, 0, self.sizes[0][at])
+        sizes = np.where(at < 0, 0, self.sizes[at])
         ends = np.cumsum(sizes)
-        ids = self.flat[0][np.repeat(self.starts[0][at] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+        ids = self.flat[_places(self.starts[at], sizes)]
         lasts = np.cumsum(pieces)
         counts = np.diff(ends[lasts - 1], prepend=0)
         whole = np.flatnonzero(np.add.reduceat(at < 0, lasts - pieces))
@@ -122,10 +149,23 @@ class Encoder:
             for i, x in zip(whole, np.split(again, np.cumsum(lengths)[:-1]), strict=True):
                 cut[i] = x
             ids, counts = np.concatenate(cut), np.fromiter(map(len, cut), np.int64, len(cut))
-        if len(self.codes) > self.limit or self.chars > 32 * self.limit:
-            self.clear()
+        self.trim()
         return ids, counts
 
+    def trim(self) -> None:
+        """Forgets what came after the cache was full: the words met first are mostly the frequent ones."""
+        if (extra := len(self.codes) - self.limit) > 0:
+            for key in list(itertools.islice(reversed(self.codes), extra)):
+                del self.codes[key]
+            used = int((self.starts[: self.limit] + self.sizes[: self.limit]).max(initial=0))
+            self.starts, self.sizes, self.flat = self.starts[: self.limit].copy(), self.sizes[: self.limit].copy(), self.flat[:used].copy()
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, which its later tasks use again."""
+    return Encoder(path)
+
 
 def _batches(frames: Iterable[pd.DataFrame], chars: int = 3_000_000) -> Iterator[tuple[list, list[str]]]:
     """(doc ids, texts) of about so many characters, whatever the size of the rows."""
@@ -145,7 +185,7 @@ def _batches(frames: Iterable[pd.DataFrame], chars: int = 3_000_000) -> Iterator
 
 def _pack(path: str, end_id: int, segment: int):
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, seq, begun = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, begun = encoder_of(path), TaskContext.get().partitionId(), 0, 0
         ids, docs, ends, n = [], [], [], 0
 
         def row() -> pd.DataFrame:
@@ -164,7 +204,6 @@ def _pack(path: str, end_id: int, segment: int):
                 seq, begun, ids, docs, ends, n = seq + 1, begun + n, [], [], [], 0
         if docs:
             yield row()
-        del encoder
         release()
 
     return pack

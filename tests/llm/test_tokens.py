@@ -33,7 +33,7 @@ def test_ranks_cross_blocks():
 
 def test_pieces_give_what_whole_texts_give():
     rng, encoder = random.Random(3), tokens.Encoder(PATH, limit=500)
-    parts = [" ", "a", "B", "\n", "\t", "'s", "1", ".", "é", "  ", "\xa0", "中", "\r\n", "<|endoftext|>", "\0", "!"]
+    parts = [" ", "a", "B", "\n", "\t", "'s", "1", ".", "é", "  ", "\xa0", "中", "\r\n", "<|endoftext|>", "\0", "!", ".,", "x*", ")\u0027"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(5000)]
     for a in range(0, len(texts), 700):
         batch = texts[a : a + 700]
