@@ -10,8 +10,9 @@ import pytest
 from quillspark.llm import langid, pitman_yor, quality
 
 
-def test_scores(spark, corpus):
-    rows = pitman_yor.score(corpus.withColumnRenamed("lang", "score")).collect()
+@pytest.mark.parametrize("few", [256, 1])
+def test_scores(spark, corpus, few):
+    rows = pitman_yor.score(corpus.withColumnRenamed("lang", "score"), few=few).collect()
     texts = Counter((r.doc_id, r.text) for r in corpus.collect())
     words = {k: [*(k[1] or "").encode().lower().split(), None] for k in texts}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
