@@ -64,19 +64,20 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        waiting: list[str] = []
-
-        class Codes(dict):
-            def __missing__(self, key: str) -> int:
-                if key.isspace() or len(key) > LONGEST:
-                    return -1
-                waiting.append(key)
-                self[key] = code = len(self)
-                return code
-
-        self.codes, self.waiting = Codes(), waiting
+        self.codes: dict[str, int] = {}
+        self.waiting: list[str] = []
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _code(self, key: str) -> int:
+        """The code of a piece, a new one for one that was not met; -1 for those that are not kept."""
+        code = self.codes.get(key)
+        if code is None:
+            if key.isspace() or len(key) > LONGEST:
+                return -1
+            self.codes[key] = code = len(self.codes)
+            self.waiting.append(key)
+        return code
+
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
@@ -87,13 +88,13 @@ class Encoder:
         in punctuation is put together from two others."""
         if not self.waiting:
             return
-        first, look, joined = len(self.codes) - len(self.waiting), self.codes.__getitem__, []
+        first, joined = len(self.codes) - len(self.waiting), []
         simple: list[int] = []
         keys: list[str] = []
         for code, key in enumerate(self.waiting, first):  # grows while it is read: parts wait too
             bare = key.rstrip(TAIL)
             if len(bare) < len(key) and bare[-1:].isalpha():
-                joined.append((code, look(bare), look(key[len(bare) :])))
+                joined.append((code, self._code(bare), self._code(key[len(bare) :])))
             else:
                 simple.append(code)
                 keys.append(key)
@@ -128,15 +129,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        look, codes, pieces = self.codes.__getitem__, [], []
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        words, pieces = [], []
         for text in texts:
             own = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [w + x for w, x in zip(itertools.chain([""], itertools.repeat(" ")), text.split(" "), strict=False)]
-            codes.extend(map(look, own))
+            words += own
             pieces.append(len(own))
+        at = np.fromiter(map(self.codes.get, words, itertools.repeat(-2)), np.int64, len(words))
+        new = np.flatnonzero(at == -2)
+        at[new] = [self._code(words[i]) for i in new.tolist()]
         self._add()
-        if not texts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        at = np.array(codes, dtype=np.int64)
         sizes = np.where(at < 0, 0, self.sizes[at])
         ends = np.cumsum(sizes)
         ids = self.flat[_places(self.starts[at], sizes)]
