@@ -52,7 +52,7 @@ class Encoder:
     are encoded in one string: a token that starts with a space starts a piece. The cache changes speed only.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
