@@ -254,14 +254,22 @@ def deduplicate(docs: DataFrame, text: str = "text", words: int = WORDS, distanc
     text_batches(docs.sparkSession)
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     marked = stored(rows.select("row.doc_id", fingerprint(F.col("row")[text], words, seed).alias("fp")), "fingerprints")
+    return first_rows(rows, marked, _groups(marked, distance), fingerprint(F.col("row")[text], words, seed))
+
+
+def first_rows(rows: DataFrame, marked: DataFrame, groups: DataFrame, mark) -> DataFrame:
+    """Of rows(row) one of each root of groups(fp, rep, root): that of the smallest doc_id, or any where there is none.
+
+    marked(doc_id, fp) are the marks of the rows, mark the column that gives them.
+    """
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("rep"), F.col("fp").alias("fp"))).alias("first")
-    chosen = _groups(marked, distance).groupBy("root").agg(first).select(F.col("first.rep").alias("rep"), F.col("first.fp").alias("chosen"))
+    chosen = groups.groupBy("root").agg(first).select(F.col("first.rep").alias("rep"), F.col("first.fp").alias("chosen"))
     shared = marked.groupBy("doc_id").agg((F.count("*") > 1).alias("shared"))
     chosen = stored(chosen.join(shared, chosen["rep"].eqNullSafe(shared["doc_id"])).select("rep", "chosen", (F.col("shared") | F.col("rep").isNull()).alias("shared")), "chosen")
     kept = rows.join(chosen.where("NOT shared"), F.col("row.doc_id") == F.col("rep"), "left_semi")
     if chosen.where("shared").head(1):
         several = rows.join(chosen.where("shared"), F.col("row.doc_id").eqNullSafe(F.col("rep")))
-        several = several.where(fingerprint(F.col("row")[text], words, seed) == F.col("chosen")).dropDuplicates(["rep", "chosen"]).select("row")
+        several = several.where(mark == F.col("chosen")).dropDuplicates(["rep", "chosen"]).select("row")
         kept = kept.unionByName(several)
     return kept.select("row.*")
 
