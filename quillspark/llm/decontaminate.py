@@ -6,13 +6,14 @@ overlapping passages, each a query of its distinct terms. Block maxima of the we
 every segment of a block: blocks below the threshold are passed over, the postings of the others are scored in full
 and all segments above the threshold are retrieved. Whole batches of passages run at once, as arrays.
 
-An item is verified where at least ``overlap`` of its five-word shingles (fewer words: the whole sequence) and of its
-answer's words (the part behind "answer:", else the last sentence) are in the document.
+An item is verified where at least ``overlap`` of its five-word shingles (fewer words: the whole sequence) are in the
+document, and as much of its answer's words if it marks an answer ("answer:"). Without a mark answer_overlap tells the
+share of the last sentence's words and decides nothing: last sentences can be a single word.
 
 The index holds at most ``shard_items`` items; more items are searched shard by shard, so what executors receive is
 bounded. Words are lower-cased (A-Z) and stripped of common punctuation. Defined cases: null or empty texts and items
-match nothing; repeated rows are searched each; several items of one id are searched each and reported once; an empty
-benchmark or corpus gives no hits. A column named hits is replaced.
+match nothing; repeated rows are searched each; several items of one id are searched each and reported once, those
+without an id each; an empty benchmark or corpus gives no hits. A column named hits is replaced.
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TABLE).split() if isinstance(text, str) else []
 
 
-def answer(text: str) -> str:
-    """What follows "answer:", else the last sentence."""
+def answer(text: str) -> tuple[str, bool]:
+    """What follows "answer:", else the last sentence; and whether it is marked."""
     if m := re.search(r"(?is)\banswer\s*:(.*\S.*)$", text):
-        return m[1]
-    return re.split(r"(?<=[.!?])\s+|\n+", text.strip())[-1]
+        return m[1], True
+    return re.split(r"(?<=[.!?])\s+|\n+", text.strip())[-1], False
 
 
 def _shingles(codes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -62,14 +63,15 @@ class _Vocabulary(dict):
 class Index:
     """Segments of test items by term, with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str | None]], k1: float = 1.2, b: float = 0.75, half: int = HALF, blocks: int = BLOCKS):
+    def __init__(self, items: list[tuple[int | None, str | None]], k1: float = 1.2, b: float = 0.75, half: int = HALF, blocks: int = BLOCKS):
         self.half, self.vocabulary, self.items, segments = half, _Vocabulary(), [], []
         for item_id, text in items:
             if not (own := words(text)):
                 continue
             codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in own])
-            tail = [c for c in (self.vocabulary[w] for w in words(answer(text))) if c >= 0]
-            self.items.append((int(item_id), np.unique(_shingles(codes)), len(codes), np.unique(tail)))
+            last, marked = answer(text)
+            tail = [c for c in (self.vocabulary[w] for w in words(last)) if c >= 0]
+            self.items.append((item_id if item_id is None else int(item_id), np.unique(_shingles(codes)), len(codes), np.unique(tail), marked))
             segments += [(len(self.items) - 1, codes[a : a + half]) for a in range(0, len(codes), half)]
         self.owner = np.array([i for i, _ in segments], dtype=np.int64)
         self.terms, n = len(self.vocabulary), len(segments)
@@ -139,15 +141,16 @@ class Index:
             for i, (codes, found) in enumerate(zip(docs, self.retrieve(docs, threshold) if self.terms else [{}] * len(docs), strict=True)):
                 held, hits = {}, {}
                 for item, score in found.items():
-                    item_id, shingles, size, tail = self.items[item]
+                    item_id, shingles, size, tail, marked = self.items[item]
                     n = min(SHINGLE, size)
                     if n not in held:
                         held[n] = np.unique(_shingles(codes, n)) if len(codes) >= n else np.zeros(0, np.uint64)
                     share = float(np.isin(shingles, held[n]).mean())
                     last = float(np.isin(tail, codes).mean()) if tail.size else 1.0
-                    if share >= overlap and last >= overlap:
-                        hits[item_id] = max(hits.get(item_id, ()), (item_id, score, share, last))
-                out[begun + i] = sorted(hits.values())
+                    if share >= overlap and (last >= overlap or not marked):
+                        own = ("none", item) if item_id is None else item_id
+                        hits[own] = max(hits.get(own, ()), (item_id, score, share, last))
+                out[begun + i] = sorted(hits.values(), key=lambda h: (h[0] is None, h[0] or 0, h[1:]))
 
         for i, text in enumerate(texts):
             docs.append(np.fromiter(map(self.vocabulary.__getitem__, words(text)), np.int64))
@@ -177,7 +180,7 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", threshold: flo
     text_batches(docs.sparkSession)
     for shard in range(shards):
         own = items.where(F.pmod(F.xxhash64(F.col("item_id"), F.col("text")), F.lit(shards)) == shard).select("item_id", "text").orderBy("item_id", "text").collect()
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own if r["item_id"] is not None]))
+        index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own]))
         out = out.withColumn(f"_hits{shard}", _finder(index, threshold, overlap)(F.col(text)))
     return out.select(*[c for c in docs.columns if c != "hits"], F.concat(*[f"_hits{s}" for s in range(shards)]).alias("hits"))
 
