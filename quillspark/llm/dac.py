@@ -70,12 +70,15 @@ class Reader:
     def slice(self, start: int, stop: int) -> np.ndarray:
         """ids[start:stop], touching only the chunks of that range."""
         out = np.zeros(max(0, stop - start), dtype=np.uint32)
-        where, level = np.arange(len(out)), 0
+        where, level = None, 0  # None: all places
         while start < stop:
             chunks, bits, _ = self.levels[level]
-            out[where] |= chunks[start:stop].astype(np.uint32) << np.uint32(8 * level)
-            more = np.unpackbits(bits[start >> 3 : -(-stop // 8)], bitorder="little")[start & 7 :][: stop - start].astype(bool)
+            if where is None:
+                out[:] = chunks[start:stop]
+            else:
+                out[where] |= chunks[start:stop].astype(np.uint32) << np.uint32(8 * level)
+            more = np.unpackbits(bits[start >> 3 : -(-stop // 8)], bitorder="little")[start & 7 :][: stop - start].view(bool)
             if not more.any():
                 break
-            where, start, stop, level = where[more], (first := self.rank(level, start)), first + int(more.sum()), level + 1
+            where, start, stop, level = np.flatnonzero(more) if where is None else where[more], (first := self.rank(level, start)), first + int(more.sum()), level + 1
         return out

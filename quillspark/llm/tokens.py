@@ -6,13 +6,16 @@ documents' ids and ends, and the ids as directly addressable codes (``dac``). An
 its segment without decoding others.
 
 Defined cases: a null or empty text is the end id alone; documents with a null doc_id come first; repeated rows are
-written as often as they occur; an empty table gives an empty file. Whole texts are encoded, whatever their length.
+written as often as they occur, rows of one doc_id in the order of their texts' hashes; an empty table gives an empty
+file. Whole texts are encoded, whatever their length; the string of an added token in a text is that token, as the
+library has it. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import uuid
 import zlib
@@ -20,6 +23,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +39,6 @@ SCHEMA = "part int, seq int, start_in_part long, n_tokens long, doc_ids array<bi
 
 #: Longer pieces are not kept: their texts are encoded whole.
 LONGEST = 256
-#: Punctuation that is one pre-token with its like behind a letter; the apostrophe, which opens contractions, is not.
-TAIL = ".,;:!?*#$%&)]}\""
 
 
 def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -44,124 +47,109 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def _splits(tokenizer: str) -> bool:
+    """Whether a tokenizer file's texts may be cut before every space that a non-space follows: byte-level BPE with its
+    usual pattern, without normalizer or dropout, and no added token that holds a space."""
+    kind = json.loads(tokenizer)
+    before, model = kind.get("pre_tokenizer") or {}, kind.get("model") or {}
+    level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    plain = not (kind.get("normalizer") or kind.get("truncation") or kind.get("padding") or model.get("dropout"))
+    return bool(level and plain and model.get("type") == "BPE" and not any(" " in t["content"] for t in kind.get("added_tokens", [])))
+
+
 class Encoder:
     """A tokenizer with a cache of its results for space-separated pieces.
 
     Byte-level BPE never merges across a space between two other characters, so a text is the concatenation of its
-    pieces, each with the space before it, unless a piece is white space only; such texts are encoded whole. New pieces
-    are encoded in one string: a token that starts with a space starts a piece. The cache changes speed only.
+    pieces, each with the space before it, unless a piece is white space only or holds an added token; such texts are
+    encoded whole, and so are all texts of a tokenizer of another kind. New pieces are encoded many in a string: a
+    token that starts with a space starts a piece. The cache changes speed only.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True  # byte-level for a space
+        with open(path, encoding="utf-8") as file:
+            self.splits = _splits(file.read())
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # byte-level for a space
         self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.waiting: list[str] = []
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _code(self, key: str) -> int:
-        """The code of a piece, a new one for one that was not met; -1 for those that are not kept."""
-        code = self.codes.get(key)
-        if code is None:
-            if key.isspace() or len(key) > LONGEST:
-                return -1
-            self.codes[key] = code = len(self.codes)
-            self.waiting.append(key)
-        return code
+        # Codes of pieces behind a space and of pieces that begin a text. Code 0 is an empty text's piece, so places of
+        # pieces that are not kept point at something.
+        self.spaced: dict[str, int] = {}
+        self.heads: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint16 if len(self.opens) <= 1 << 16 else np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
-
-    def _add(self) -> None:
-        """Encodes what waits. Letters and the punctuation behind them are apart for the tokenizer, so a piece that ends
-        in punctuation is put together from two others."""
-        if not self.waiting:
-            return
-        first, joined = len(self.codes) - len(self.waiting), []
-        simple: list[int] = []
-        keys: list[str] = []
-        for code, key in enumerate(self.waiting, first):  # grows while it is read: parts wait too
-            bare = key.rstrip(TAIL)
-            if len(bare) < len(key) and bare[-1:].isalpha():
-                joined.append((code, self._code(bare), self._code(key[len(bare) :])))
-            else:
-                simple.append(code)
-                keys.append(key)
-        runs = []  # a piece without the space, or the start of a text, opens a string of its own
-        for key in keys:
-            if key[:1] == " " and runs and len(runs[-1]) < 512 and runs[-1][0][:1] == " ":
-                runs[-1].append(key)
-            else:
-                runs.append([key])
-        ids, lengths = self._ids(["".join(r) for r in runs])
-        begins = (np.cumsum(lengths) - lengths)[lengths > 0]
-        single = np.repeat(np.fromiter((len(r) == 1 for r in runs), bool, len(runs)), lengths)
-        opens = self.opens[ids] & ~single
-        opens[begins] = True
-        at = np.flatnonzero(opens)
-        sizes = np.diff(at, append=len(ids))
-        if (empty := np.flatnonzero(lengths == 0)).size:  # the piece of an empty text
-            before = np.cumsum([len(r) for r in runs]) - [len(r) for r in runs]
-            sizes = np.insert(sizes, before[empty] - np.arange(len(empty)), 0)
-        held = len(self.flat)
-        starts, all_sizes = (np.concatenate([x, np.zeros(len(self.codes) - first, np.int64)]) for x in (self.starts, self.sizes))
-        starts[simple], all_sizes[simple] = held + np.cumsum(sizes) - sizes, sizes
-        flat = np.concatenate([self.flat, ids])
-        if joined:
-            code, one, two = np.array(joined).T
-            all_sizes[code] = all_sizes[one] + all_sizes[two]
-            parts = np.stack([one, two], axis=1).ravel()
-            starts[code] = len(flat) + np.cumsum(all_sizes[code]) - all_sizes[code]
-            flat = np.concatenate([flat, flat[_places(starts[parts], all_sizes[parts])]])
-        self.flat, self.starts, self.sizes = flat, starts, all_sizes
-        self.waiting.clear()
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(itertools.chain.from_iterable(got), self.flat.dtype, int(sizes.sum())), sizes
+
+    def _add(self, spaced: list[str], heads: list[str]) -> None:
+        """Encodes and keeps new pieces, the spaced ones without their space."""
+        runs = [" " + " ".join(spaced[i : i + 512]) for i in range(0, len(spaced), 512)]
+        ids, lengths = self._ids(runs + heads)
+        many = int(lengths[: len(runs)].sum())
+        sizes = np.concatenate([np.diff(np.flatnonzero(self.opens[ids[:many]]), append=many), lengths[len(runs) :]]).astype(np.int32)
+        codes = itertools.count(len(self.sizes))
+        self.spaced.update(zip(spaced, codes, strict=False))
+        self.heads.update(zip(heads, itertools.count(len(self.sizes) + len(spaced)), strict=False))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes, dtype=np.int32) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        if not texts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        words, pieces = [], []
-        for text in texts:
-            own = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [w + x for w, x in zip(itertools.chain([""], itertools.repeat(" ")), text.split(" "), strict=False)]
-            words += own
-            pieces.append(len(own))
-        at = np.fromiter(map(self.codes.get, words, itertools.repeat(-2)), np.int64, len(words))
-        new = np.flatnonzero(at == -2)
-        at[new] = [self._code(words[i]) for i in new.tolist()]
-        self._add()
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return self.flat[:0].astype(np.uint32), np.zeros(0, np.int64)
+        whole = np.full(len(texts), not self.splits)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        first = cut.offsets.to_numpy()[:-1].astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        behind = np.ones(len(index), bool)
+        behind[first] = False
+        used = np.zeros(len(names), bool)
+        used[index[behind]] = True
+        heads = [names[i] for i in index[first].tolist()]
+        code = np.fromiter(map(self.spaced.get, names, itertools.repeat(-1)), np.int64, len(names))
+        kept = lambda w: len(w) <= LONGEST and not w.isspace()
+        new = [w for w in (names[i] for i in np.flatnonzero((code < 0) & used).tolist()) if w and kept(w)]
+        new_heads = [w for w in dict.fromkeys(heads) if w not in self.heads and kept(w)]
+        if new or new_heads:
+            self._add(new, new_heads)
+            again = np.flatnonzero(code < 0)
+            code[again] = np.fromiter((self.spaced.get(names[i], -1) for i in again.tolist()), np.int64, len(again))
+        at = code[index]
+        at[first] = np.fromiter(map(self.heads.get, heads, itertools.repeat(-1)), np.int64, len(heads))
         sizes = np.where(at < 0, 0, self.sizes[at])
-        ends = np.cumsum(sizes)
         ids = self.flat[_places(self.starts[at], sizes)]
-        lasts = np.cumsum(pieces)
-        counts = np.diff(ends[lasts - 1], prepend=0)
-        whole = np.flatnonzero(np.add.reduceat(at < 0, lasts - pieces))
-        if whole.size:
-            cut = np.split(ids, np.cumsum(counts)[:-1])
-            again, lengths = self._ids([texts[i] for i in whole])
-            for i, x in zip(whole, np.split(again, np.cumsum(lengths)[:-1]), strict=True):
-                cut[i] = x
-            ids, counts = np.concatenate(cut), np.fromiter(map(len, cut), np.int64, len(cut))
+        counts = np.add.reduceat(sizes, first).astype(np.int64)
+        whole |= np.logical_or.reduceat(at < 0, first)
+        if whole.any():
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            again, lengths = self._ids([texts[i].as_py() for i in np.flatnonzero(whole).tolist()])
+            for i, x in zip(np.flatnonzero(whole).tolist(), np.split(again, np.cumsum(lengths)[:-1]), strict=True):
+                parts[i] = x
+            ids, counts = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         self.trim()
-        return ids, counts
+        return ids.astype(np.uint32), counts
 
     def trim(self) -> None:
         """Forgets what came after the cache was full: the words met first are mostly the frequent ones."""
-        if (extra := len(self.codes) - self.limit) > 0:
-            for key in list(itertools.islice(reversed(self.codes), extra)):
-                del self.codes[key]
-            used = int((self.starts[: self.limit] + self.sizes[: self.limit]).max(initial=0))
-            self.starts, self.sizes, self.flat = self.starts[: self.limit].copy(), self.sizes[: self.limit].copy(), self.flat[:used].copy()
+        if len(self.sizes) > self.limit:
+            for codes in (self.spaced, self.heads):
+                for key in list(itertools.takewhile(lambda k: codes[k] >= self.limit, reversed(codes))):  # noqa: B023
+                    del codes[key]
+            self.starts, self.sizes = self.starts[: self.limit].copy(), self.sizes[: self.limit].copy()
+            self.flat = self.flat[: int((self.starts + self.sizes).max(initial=0))].copy()
 
 
 @functools.lru_cache(maxsize=1)
@@ -170,37 +158,39 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _batches(frames: Iterable[pd.DataFrame], chars: int = 3_000_000) -> Iterator[tuple[list, list[str]]]:
-    """(doc ids, texts) of about so many characters, whatever the size of the rows."""
-    ids, texts, total = [], [], 0
-    for frame in frames:
-        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-            text = text if isinstance(text, str) else ""
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
-            texts.append(text)
-            total += len(text) + 64
-            if total >= chars:
-                yield ids, texts
-                ids, texts, total = [], [], 0
-    if ids:
-        yield ids, texts
+def _batches(batches: Iterable[pa.RecordBatch], size: int = 6_000_000) -> Iterator[tuple[list, pa.Array]]:
+    """(doc ids, texts) of about so many bytes or a batch more."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield _columns(held)
+            held, total = [], 0
+    if held:
+        yield _columns(held)
+
+
+def _columns(batches: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
+    texts = pa.concat_arrays([b.column("text") for b in batches])
+    return [i for b in batches for i in b.column("doc_id").to_pylist()], pc.fill_null(texts, "")
 
 
 def _pack(path: str, end_id: int, segment: int):
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq, begun = encoder_of(path), TaskContext.get().partitionId(), 0, 0
         ids, docs, ends, n = [], [], [], 0
 
-        def row() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "seq": [seq], "start_in_part": [begun], "n_tokens": [n], "doc_ids": [docs], "doc_ends": [ends], "codes": [dac.encode(np.concatenate(ids))]})
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([begun], pa.int64()), pa.array([n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([np.concatenate(ends)], pa.list_(pa.int64())), pa.array([dac.encode(np.concatenate(ids))], pa.binary())], names=["part", "seq", "start_in_part", "n_tokens", "doc_ids", "doc_ends", "codes"])
 
-        for names, texts in _batches(frames):
+        for names, texts in _batches(batches):
             flat, counts = encoder.encode(texts)
             lasts = np.cumsum(counts)
             flat = np.insert(flat, lasts, end_id)
             ids.append(flat)
             docs += names
-            ends += (n + lasts + np.arange(1, len(texts) + 1)).tolist()
+            ends.append(n + lasts + np.arange(1, len(names) + 1))
             n += len(flat)
             if n >= segment:
                 yield row()
@@ -217,7 +207,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
     text_batches(docs.sparkSession)
     # The text's hash splits a doc_id that holds many rows; equal documents are interchangeable.
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInPandas(_pack(tokenizer_path, end_id, segment), SCHEMA).write.parquet(folder)
+    ordered.mapInArrow(_pack(tokenizer_path, end_id, segment), SCHEMA).write.parquet(folder)
 
 
 def _unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

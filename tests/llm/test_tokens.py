@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -38,7 +39,36 @@ def test_pieces_give_what_whole_texts_give():
     for a in range(0, len(texts), 700):
         batch = texts[a : a + 700]
         ids, counts = encoder.encode(batch)
-        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in encoder.tokenizer.encode_batch(batch, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in Tokenizer.from_file(PATH).encode_batch(batch, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("text", ["\n", "x" * 300, "a<|endoftext|>b", "", " ", "\0", "y " * 400_000, " \n" * 1000])
+def test_first_texts_of_an_encoder(text):
+    """Each meets an encoder that has kept nothing yet, and again one that has."""
+    encoder, plain = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
+    for _ in range(2):
+        ids, counts = encoder.encode([text])
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+
+
+def test_other_tokenizers_see_whole_texts():
+    encoder, plain = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Hello  wOrld", "a b c", "", "<|startoftext|> x"]
+    ids, counts = encoder.encode(texts)
+    assert not encoder.splits and [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rare_cases_each_in_a_partition(spark, tmp_path):
+    rows = [(1, "\n"), (2, "z" * 300), (3, "a<|endoftext|>b"), (4, "w " * 500_000 + "end"), (5, None), (5, None)]
+    folder, plain = str(tmp_path / "t"), Tokenizer.from_file(PATH)
+    tokens.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, PATH)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.documents(spark, folder).collect())
+    at, want = 0, []
+    for doc_id, text in rows:
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [2]
+        want.append((at, doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
 
 
 def test_files_hold_all_documents(spark, corpus, tmp_path):
