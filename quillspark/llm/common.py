@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder that all executors share (spark.checkpoint.dir). In local mode a temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -79,22 +82,25 @@ def lower_ascii(text):
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of edges(a, b): (node, component), component being the smallest node reachable.
 
     Alternates large-star and small-star steps. Each round is written to the shared folder, so a lost executor
-    costs one round; only the number and the checksum of the edges reach the driver.
+    costs one round; only the number and the checksum of the edges reach the driver. The rounds grow with the logarithm
+    of the nodes; should `rounds` not be enough, it raises and returns nothing unfinished.
     """
     def minimum(e: DataFrame) -> DataFrame:
         return e.groupBy("a").agg(F.min("b").alias("m"))
 
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
         seen = mark
+        if turn == rounds:
+            raise RuntimeError(f"components are unfinished after {rounds} rounds")
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = minimum(both).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
