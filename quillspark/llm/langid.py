@@ -152,7 +152,8 @@ class Model:
             yield from model.predict(list(x) for x in parts)
             release()
 
-        return docs.withColumn("_found", found(F.col(text))).select(*[c for c in docs.columns if c not in ("lang_pred", "score", "rejected")], "_found.*")
+        kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+        return docs.select(F.struct(*kept).alias("row"), found(F.col(text)).alias("found")).select("row.*", "found.*")
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,10 +231,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, precision: float = 0.
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_language / n))]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(draw < share).withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(4)))
-    learn = sample.where("fold > 0").select("lang", "text").mapInPandas(_counted, "lang string, gram string, n long")
-    rows = [tuple(r) for r in learn.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()]
-    if not rows:
-        return Model([])
+    grams = lambda part: part.select("lang", "text").mapInPandas(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    rows = [tuple(r) for r in grams(sample.where("fold > 0"))]
     model = build(sorted({r[0] for r in rows}), rows)
 
     def tried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,7 +254,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, precision: float = 0.
         order = np.argsort(-share)
         good = np.cumsum((ce.argmin(1) == true)[order]) / np.arange(1, len(order) + 1) >= precision
         model.accept = float(share[order][np.flatnonzero(good)[-1]]) if good.any() else 1.0
-    return model
+    # Calibrated on rows it had not seen, the model is now learned from all of them, so no language of the sample is lost.
+    rows += [tuple(r) for r in grams(sample.where("fold = 0"))]
+    final = build(sorted({r[0] for r in rows}), rows)
+    final.sharpness, final.accept = model.sharpness, model.accept
+    return final
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
