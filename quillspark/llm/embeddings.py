@@ -10,7 +10,8 @@
    lose none: the count needs no pairs and no cap.
 
 Cosines are taken in double precision. Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing and stay; vectors of other lengths never link; rows of a repeated vec_id are vectors of
+components link with nothing and stay, those of extreme finite components are compared like any; vectors of other
+lengths never link; rows of a repeated vec_id are vectors of
 their own; rows without a vec_id count as links but name no component; an empty table gives no rows.
 """
 
@@ -43,17 +44,19 @@ def passes(n: int, threshold: float = THRESHOLD, window: int = WINDOW, meet: flo
 
 
 def _unit(rows: pd.Series | list) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square over- or underflows."""
     x = np.array([np.asarray(r, dtype=np.float64) for r in rows])
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x.reshape(0, 0)
+    if not len(x):
+        return x.reshape(0, 0)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _digest(v) -> str | None:
     if v is None or not len(v):
         return None
     x = np.array([np.nan if c is None else c for c in v], dtype=np.float64) + 0.0
-    with np.errstate(over="ignore"):
-        norm = np.linalg.norm(x)
-    return hashlib.sha256(x.tobytes()).hexdigest() if np.isfinite(norm) and norm > 0 else None
+    return hashlib.sha256(x.tobytes()).hexdigest() if np.isfinite(x).all() and x.any() else None
 
 
 def _key(embedding):
@@ -153,8 +156,8 @@ def cluster(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WIND
     """vectors(vec_id, embedding): vec_id, n_links, component_id and kept, one row a vector."""
     keyed = stored(vectors.select("vec_id", "embedding").withColumn("key", _key("embedding")), "vectors")
     whole = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
-    # The digest's first 60 bits number the classes; one shared by two digests would only merge them, at 2^-60 a pair.
-    whole = stored(whole.withColumn("class_id", F.conv(F.substring("key", 1, 15), 16, 10).cast("long")), "classes")
+    # Numbered as they are written, so the numbers are distinct and stay; the whole digest tells classes apart.
+    whole = stored(whole.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     n = whole.count()
     edges = _windows(whole, _orders(whole, passes(n, threshold, window, meet), seed), threshold, window)
     member = stored(components(edges).select(F.col("node").alias("class_id"), "component"), "members")
