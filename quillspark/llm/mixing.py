@@ -44,15 +44,17 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = 3, seed: int = 17) -> DataFrame:
     """docs(doc_id, text, source, ...) with size, source_size, target, copies and taken for every row."""
-    docs = docs.drop(*ADDED).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    kept = [c for c in docs.columns if c not in ADDED]
+    # The row goes on whole, so none of its columns can clash with those added here.
+    docs = docs.select(F.struct(*kept).alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     # Source and size are summed in each task before the shuffle: a hot source sends one row a task.
     goal = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
-    goal = goal.select(F.col("source").alias("_source"), "source_size", "target")
+    goal = goal.select(F.col("source").alias("of"), "source_size", "target")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
     copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
-    out = docs.join(goal, docs["source"].eqNullSafe(goal["_source"])).drop("_source")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    out = docs.join(goal, docs["source"].eqNullSafe(goal["of"])).withColumn("copies", copies)
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select("row.*", *ADDED)
 
 
 def emitted(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = 3, seed: int = 17) -> DataFrame:

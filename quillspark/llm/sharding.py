@@ -15,6 +15,7 @@ named shard or slot are replaced.
 from __future__ import annotations
 
 import json
+from math import exp, lgamma
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import load
 
-SHARDS = 24
+SHARDS, ROWS = 24, 1_000_000
 
 
 def communication(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -41,24 +42,48 @@ def communication(counts: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    # numpy stops at 10^9; beyond that the normal law is exact to rounding, kept within the possible counts
-    t, p = good + bad, good / (good + bad)
-    draw = round(rng.normal(n * p, (n * p * (1 - p) * (t - n) / max(1, t - 1)) ** 0.5))
-    return int(min(max(draw, n - bad, 0), good, n))
-
-
-def shard_rows(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: int = 29, partitions: int = 256) -> DataFrame:
+    """A draw from the hypergeometric law; numpy's own stops at 10^9."""
+    return int(rng.hypergeometric(good, bad, n)) if good + bad < 1_000_000_000 else inverted(rng, good, bad, n)
+
+
+def inverted(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """The same law by inversion, outwards from the mode: about as many steps as the standard deviation."""
+    low, high = max(0, n - bad), min(n, good)
+    right = left = mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
+    log_choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    up = down = exp(log_choose(good, mode) + log_choose(bad, n - mode) - log_choose(good + bad, n))
+    rest = rng.random() - up
+    while rest > 0 and (left > low or right < high):
+        if right < high:
+            up *= (good - right) / (right + 1) * ((n - right) / (bad - n + right + 1))
+            right += 1
+            rest -= up
+            if rest <= 0:
+                return right
+        if left > low:
+            down *= left / (good - left + 1) * ((bad - n + left) / (n - left + 1))
+            left -= 1
+            rest -= down
+            if rest <= 0:
+                return left
+        if max(up, down) < 1e-300:
+            break
+    return mode
+
+
+def shard_rows(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: int = 29, partitions: int | None = None) -> DataFrame:
     """df with shard (0 to shards - 1, counts at most one apart) and slot (gapless from 0 in a shard).
 
-    partitions bounds the matrix (partitions x shards numbers); each holds an even share, whatever the keys.
+    partitions bounds the matrix (partitions x shards numbers); each holds an even share, whatever the keys. By default
+    there are as many as make shares of about ROWS rows.
     """
     df = df.drop("shard", "slot")
+    partitions = partitions or max(256, -(-df.count() // ROWS))
     # Rows of a repeated key differ in another column and so in their hashes; only fully equal rows share them.
     row = [F.col(c) for c in df.columns]
     h = lambda k: F.xxhash64(F.lit(seed * 1000 + k), F.col(key), *row)
-    at = df.withColumns({"_p": F.pmod(h(1), F.lit(partitions)).cast("int"), "_a": h(2), "_b": h(3)})
+    # The row goes on whole, so none of its columns can clash with those added here.
+    at = df.select(F.struct(*row).alias("row"), F.pmod(h(1), F.lit(partitions)).cast("int").alias("_p"), h(2).alias("_a"), h(3).alias("_b"))
     counted = {r["_p"]: r["n"] for r in at.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     marks = np.cumsum(communication([counted.get(p, 0) for p in range(partitions)], shards, seed), axis=1)
     cuts = F.from_json(F.lit(json.dumps(marks.tolist())), "array<array<bigint>>")
@@ -71,7 +96,7 @@ def shard_rows(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: i
     at = at.withColumn("_in", F.row_number().over(Window.partitionBy("shard", "_range").orderBy("_b", "_p", "_rank")))
     # 256 ranges a shard: at most shards * 256 rows, so this side may be broadcast.
     at = at.join(F.broadcast(ranges), ["shard", "_range"])
-    return at.withColumn("slot", (F.col("_before") + F.col("_in") - 1).cast("long")).select(*df.columns, "shard", "slot")
+    return at.withColumn("slot", (F.col("_before") + F.col("_in") - 1).cast("long")).select("row.*", "shard", "slot")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
