@@ -2,12 +2,14 @@
 
 Patterns propose spans of eight kinds. Five labelers (format, gazetteer, left context, counter context, edges) vote
 +1, 0 or -1 on each. Votes are counted by pattern, expectation-maximisation turns the counts into reliabilities and
-posteriors, and a logistic span classifier is trained on those posteriors. Only the table of vote patterns, at most
-kinds x 3^5 x lengths rows whatever the corpus, reaches the driver. Spans of the four base kinds always stay; spans of
+posteriors, and a logistic span classifier is trained on those posteriors; it also sees a span's length, the classes
+of its characters and a hash of the word before it. Only the table of vote patterns and features, at most kinds x 3^5
+x 4 x SHAPES x NEAR rows whatever the corpus, reaches the driver. Spans of the four base kinds always stay; spans of
 the other kinds are added where the classifier accepts them and no base span overlaps.
 
 Offsets are code points, end exclusive. Defined cases: a null text counts as empty; an empty table gives no rows and
-an untrained classifier that accepts nothing; repeated rows are rows of their own; the texts' private-use characters
+an untrained classifier that accepts nothing; repeated rows are rows of their own; a score of exactly 0.5 accepts;
+a column named spans is replaced; the texts' private-use characters
 U+E000 and U+E001, which mark matches here, are read as U+E002, so no offset moves. Patterns are written without
 nested backtracking (possessive groups, matches starting where a run starts), so long runs stay linear.
 """
@@ -26,6 +28,8 @@ BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "national_phone", "ssn", "iban")
 KINDS = BASE + EXTRA
 VOTES = ("v_format", "v_gazetteer", "v_context", "v_counter", "v_edge")
+#: Features of the classifier beside the votes: classes of a span's characters, hash values of the word before it.
+SHAPES, NEAR = 12, 16
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _CODE = "[A-Za-z0-9_/+=-]"
@@ -119,6 +123,12 @@ def _gazetteer(kind: str, m: Column) -> Column:
     return F.lit(0)
 
 
+def _shape(m: Column) -> Column:
+    """Which of SHAPES classes a match is of: quarters of digits, and whether it has capitals, small letters or neither."""
+    digits = F.least((F.length(_digits(m)) * 4 / F.greatest(F.length(m), F.lit(1))).cast("int"), F.lit(3))
+    return digits * 3 + F.when(m.rlike("[A-Z]"), 2).when(m.rlike("[a-z]"), 1).otherwise(0)
+
+
 def _spans(text: Column, kind: str, gate: Column) -> Column:
     """Array of the kind's valid matches, with the labelers' votes."""
     parts = F.split(F.regexp_replace(text, PATTERNS[kind], "\ue000$0\ue001"), "[\ue000\ue001]")
@@ -130,22 +140,25 @@ def _spans(text: Column, kind: str, gate: Column) -> Column:
         near = F.lower(F.right(left, F.lit(40)))
         return F.struct(
             F.lit(kind).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(m)).alias("end"), F.least(F.length(m), F.lit(63)).alias("length"),
+            _shape(m).alias("shape"), F.pmod(F.xxhash64(F.regexp_extract(near, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)), F.lit(NEAR)).cast("int").alias("near"),
             _format(kind, m).alias("v_format"), _gazetteer(kind, m).alias("v_gazetteer"), F.when(near.rlike(rf"(^|[^a-z])({CUES[kind]})"), 1).otherwise(0).alias("v_context"),
             F.when(near.rlike(rf"(^|[^a-z])({COUNTER})"), -1).otherwise(0).alias("v_counter"), F.when(F.right(left, F.lit(1)).rlike("[A-Za-z0-9]") | F.left(right, F.lit(1)).rlike("[A-Za-z0-9]"), -1).otherwise(1).alias("v_edge"),
         )
 
     found = F.transform(F.filter(around, lambda x: _valid(kind, x["p"])), span)
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,length:int,v_format:int,v_gazetteer:int,v_context:int,v_counter:int,v_edge:int>>")
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,length:int,shape:int,near:int,v_format:int,v_gazetteer:int,v_context:int,v_counter:int,v_edge:int>>")
     return F.when(gate & text.rlike(PATTERNS[kind]), found).otherwise(none)
 
 
 def propose(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, with _base and _extra: arrays of proposed spans and their votes."""
+    """row (docs without the text), _base and _extra: arrays of proposed spans, their votes and features."""
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), "\ue000\ue001", "\ue002\ue002")
-    at = docs.withColumn("_clean", clean).withColumns({"_digit": F.col("_clean").rlike("[0-9]"), "_at": F.contains(F.col("_clean"), F.lit("@"))})
+    # The row goes on whole, so none of its columns can clash with those added here.
+    kept = [c for c in docs.columns if c != text]
+    at = docs.select((F.struct(*kept) if kept else F.lit(None).cast("int")).alias("row"), clean.alias("_clean")).withColumns({"_digit": F.col("_clean").rlike("[0-9]"), "_at": F.contains(F.col("_clean"), F.lit("@"))})
     gate = {"email": F.col("_at"), "phone": F.col("_digit") & F.contains(F.col("_clean"), F.lit("+"))}
     spans = {k: _spans(F.col("_clean"), k, gate.get(k, F.col("_digit"))) for k in KINDS}
-    return at.select(*[c for c in docs.columns if c != text], F.concat(*[spans[k] for k in BASE]).alias("_base"), F.concat(*[spans[k] for k in EXTRA]).alias("_extra"))
+    return at.select("row", F.concat(*[spans[k] for k in BASE]).alias("_base"), F.concat(*[spans[k] for k in EXTRA]).alias("_extra"))
 
 
 @dataclass
@@ -162,15 +175,19 @@ class SpanModel:
         for w, v in zip(self.weights, VOTES, strict=False):
             z = z + span[v] * F.lit(float(w))
         z = z + (span["length"] / 16).cast("int") * F.lit(float(self.weights[len(VOTES)]))
+        rest = self.weights[len(VOTES) + 1 :]
+        for name, own in (("shape", rest[:SHAPES]), ("near", rest[SHAPES:])):
+            z = z + F.element_at(F.array(*[F.lit(float(w)) for w in own]), span[name] + 1)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
 def fit(proposed: DataFrame, rounds: int = 40) -> SpanModel:
     """Expectation-maximisation over counted vote patterns, then a logistic classifier on the posteriors."""
     spans = proposed.select(F.explode(F.concat("_base", "_extra")).alias("s"))
-    rows = spans.groupBy("s.kind", *[f"s.{v}" for v in VOTES], (F.col("s.length") / 16).cast("int").alias("size")).agg(F.count("*").alias("n")).orderBy("kind", *VOTES, "size").collect()
+    features = ["size", "shape", "near"]
+    rows = spans.groupBy("s.kind", *[f"s.{v}" for v in VOTES], (F.col("s.length") / 16).cast("int").alias("size"), "s.shape", "s.near").agg(F.count("*").alias("n")).orderBy("kind", *VOTES, *features).collect()
     if not rows:
-        return SpanModel({}, {}, dict.fromkeys(KINDS, -20.0), [0.0] * (len(VOTES) + 1))
+        return SpanModel({}, {}, dict.fromkeys(KINDS, -20.0), [0.0] * (len(VOTES) + 1 + SHAPES + NEAR))
     n = np.array([r["n"] for r in rows], float)
     votes = np.array([[r[v] for v in VOTES] for r in rows])
     kind = np.array([KINDS.index(r["kind"]) for r in rows])
@@ -186,7 +203,8 @@ def fit(proposed: DataFrame, rounds: int = 40) -> SpanModel:
             tables.append(table)
             like *= table[:, votes[:, j] + 1].T
         post = like[:, 1] / like.sum(1)
-    x = np.hstack([np.eye(len(KINDS))[kind], votes, size[:, None]])
+    of = lambda name, many: np.eye(many)[[r[name] for r in rows]]
+    x = np.hstack([np.eye(len(KINDS))[kind], votes, size[:, None], of("shape", SHAPES), of("near", NEAR)])
     w = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps on the ridge-penalised likelihood
         p = 1 / (1 + np.exp(-x @ w))
@@ -199,12 +217,14 @@ def fit(proposed: DataFrame, rounds: int = 40) -> SpanModel:
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without text, with spans: array of (kind, start, end, base, score), base kinds first, then by place."""
-    proposed = stored(propose(docs, text), "spans")
+    proposed = stored(propose(docs if text == "spans" else docs.drop("spans"), text), "spans")
     model = fit(proposed)
     mark = lambda base: lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), model.score(s).alias("score"))
     free = lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     added = F.filter(F.transform(F.filter(F.col("_extra"), free), mark(False)), lambda s: s["score"] >= 0.5)
-    return proposed.withColumn("spans", F.concat(F.transform("_base", mark(True)), added)).drop("_base", "_extra")
+    spans = F.concat(F.transform("_base", mark(True)), added).alias("spans")
+    found = proposed.select("row", spans)
+    return found.select("row.*", "spans") if any(c not in (text, "spans") for c in docs.columns) else found.select("spans")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
