@@ -4,14 +4,15 @@ Items are cut into segments of at most half a passage and indexed by term; a wei
 of its segment's score for itself, so one threshold serves segments of all lengths. Every training text is cut into
 overlapping passages, each a query of its distinct terms. Block maxima of the weights, summed over the query, bound
 every segment of a block: blocks below the threshold are passed over, the postings of the others are scored in full
-and all segments above the threshold are retrieved. Whole batches of passages run at once, as arrays.
+and all segments above the threshold are retrieved. Whole batches of passages run at once, as arrays; these bounds
+stand in for the pivot that a document-at-a-time traversal would move.
 
 An item is verified where at least ``overlap`` of its five-word shingles (fewer words: the whole sequence) are in the
 document, and as much of its answer's words if it marks an answer ("answer:"). Without a mark answer_overlap tells the
 share of the last sentence's words and decides nothing: last sentences can be a single word.
 
-The index holds at most ``shard_items`` items; more items are searched shard by shard, so what executors receive is
-bounded. Words are lower-cased (A-Z) and stripped of common punctuation. Defined cases: null or empty texts and items
+An index holds at most ``shard_items`` items; more items make more indexes, each a broadcast of its own, all searched
+in one pass over the texts: a worker's memory grows with the benchmark (about 3 kB an item), not with the corpus. Words are lower-cased (A-Z) and stripped of common punctuation. Defined cases: null or empty texts and items
 match nothing; repeated rows are searched each; several items of one id are searched each and reported once, those
 without an id each; an empty benchmark or corpus gives no hits. A column named hits is replaced.
 """
@@ -176,13 +177,14 @@ def _finder(index, threshold: float, overlap: float):
 def search(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """docs with hits, an array of the verified items(item_id, text) of each."""
     shards = max(1, -(-items.count() // shard_items))
-    out = docs.drop("hits")
+    # The row goes on whole, so none of its columns can clash with those added here.
+    out = docs.select(F.struct(*[c for c in docs.columns if c != "hits"]).alias("row"), F.col(text).alias("text"))
     text_batches(docs.sparkSession)
     for shard in range(shards):
         own = items.where(F.pmod(F.xxhash64(F.col("item_id"), F.col("text")), F.lit(shards)) == shard).select("item_id", "text").orderBy("item_id", "text").collect()
         index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own]))
-        out = out.withColumn(f"_hits{shard}", _finder(index, threshold, overlap)(F.col(text)))
-    return out.select(*[c for c in docs.columns if c != "hits"], F.concat(*[f"_hits{s}" for s in range(shards)]).alias("hits"))
+        out = out.withColumn(f"_hits{shard}", _finder(index, threshold, overlap)(F.col("text")))
+    return out.select("row", F.concat(*[f"_hits{s}" for s in range(shards)]).alias("hits")).select("row.*", "hits")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
