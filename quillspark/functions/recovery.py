@@ -229,8 +229,23 @@ def recovered(raw: Column) -> Column:
 
 questions = _mapped(f"array<{QUESTION}>", lambda v: parse_questions(v)[0])
 repaired = _mapped(QUESTION, parse_repaired)
-truncated = _mapped("boolean", likely_truncated)
-nfkc = _mapped("string", lambda v: re.sub(r"\s+", "", unicodedata.normalize("NFKC", v)).replace("，", ",").replace("：", ":"))
+
+
+def _plain(v: str) -> str:
+    return re.sub(r"\s+", "", unicodedata.normalize("NFKC", v)).replace("，", ",").replace("：", ":")
+
+
+nfkc = _mapped("string", _plain)
+nfkc_each = _mapped("array<string>", lambda values: [None if v is None else _plain(v) for v in values])
+
+
+def truncated(raw: Column) -> Column:
+    """Whether a text that opens like JSON ends inside a string or an open bracket; null for null."""
+    bare = F.regexp_replace(F.regexp_replace(raw, r"(?s)\\.", ""), '"[^"]*"', "")
+    more = lambda a, b: F.regexp_count(bare, F.lit(a)) > F.regexp_count(bare, F.lit(b))
+    return raw.rlike(r"^\s*[{\[]") & (F.contains(bare, F.lit('"')) | more(r"\{", r"\}") | more(r"\[", r"\]"))
+
+
 labelled = _mapped("array<struct<source_id:string,label:string,start:int,end:int,option_key:string>>", annotations)
 
 

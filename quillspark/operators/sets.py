@@ -49,7 +49,7 @@ def containing_owner(spans: Column, at: Column) -> Column:
     return F.when(one(inside), first(inside)).when(one(begins), first(begins)).when(one(ends), first(ends)).when(one(owners), F.get(owners, F.lit(0)))
 
 
-def first_of(rows: DataFrame, key: Column, order: str) -> DataFrame:
+def first_of(rows: DataFrame, key: Column, order: str | Column) -> DataFrame:
     """The first row, by order, of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 
@@ -70,21 +70,23 @@ def failed_checks(checks: list[tuple[str, Column]]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(code)) for code, cond in checks]), lambda x: x.isNotNull())
 
 
-def merged_candidates(rows: DataFrame, key: str, order: str) -> DataFrame:
+def merged_candidates(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """One row a key: source_ids united in the order met, of every other column the first value that is not null."""
-    others = [c for c in rows.columns if c not in (key, order, "source_ids")]
+    key = [key] if isinstance(key, str) else key
+    others = [c for c in rows.columns if c not in (*key, order, "source_ids")]
     united = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "source_ids"))), lambda x: x["source_ids"])))
-    return rows.groupBy(key).agg(united.alias("source_ids"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in others])
+    return rows.groupBy(*key).agg(united.alias("source_ids"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in others])
 
 
-def failures(log: DataFrame) -> DataFrame:
-    """(source_id, failure) of log(source_id, seq, what, failure): what is failed, cleared or unresolved.
+def failures(log: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(source_id, failure) of log(source_id, seq, what, failure): what is failed, cleared or unresolved; key may name
+    more columns than source_id.
 
     The first failure after the last clearing stays; something unresolved after it takes its place.
     """
-    last = lambda w: F.max(F.when(F.col("what") == w, F.col("seq")))
-    whole = Window.partitionBy("source_id")
+    key = key or ["source_id"]
+    whole = Window.partitionBy(*key)
     at = log.withColumn("_cleared", F.coalesce(F.max(F.when(F.col("what") == "cleared", F.col("seq"))).over(whole), F.lit(-1)))
     live = F.col("seq") > F.col("_cleared")
     named = lambda pick, w: pick("failure", F.when(live & (F.col("what") == w), F.col("seq")))
-    return at.groupBy("source_id").agg(F.coalesce(named(F.max_by, "unresolved"), named(F.min_by, "failed")).alias("failure"), last("cleared").alias("_c")).drop("_c")
+    return at.groupBy(*key).agg(F.coalesce(named(F.max_by, "unresolved"), named(F.min_by, "failed")).alias("failure"))

@@ -5,6 +5,7 @@ No client here opens a connection by itself: `with_retries` takes the function t
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -49,20 +50,37 @@ def scripted(replies: dict[str, str]) -> Callable[[dict], tuple[str, str | None]
     return client
 
 
-def completed(requests: DataFrame, client: Callable[[str], str]) -> DataFrame:
-    """requests(key, request) with content or error; write the result before using it, calls may cost money."""
+def completed(requests: DataFrame, client: Callable[[str], str | tuple[str, str | None]]) -> DataFrame:
+    """requests(key, request) with content and finish, or error; write the result before using it, calls may cost money.
+
+    A client returns the content, or the content and why it ended there.
+    """
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for key, request in zip(frame["key"], frame["request"], strict=True):
                 try:
-                    rows.append((key, client(request), None))
+                    said = client(request)
+                    rows.append((key, *(said if isinstance(said, tuple) else (said, None)), None))
                 except Exception as why:  # a failed call is a row, not a failed job
-                    rows.append((key, None, str(why)))
-            yield pd.DataFrame(rows, columns=["key", "content", "error"])
+                    rows.append((key, None, None, str(why) or type(why).__name__))
+            yield pd.DataFrame(rows, columns=["key", "content", "finish", "error"])
+
+    return requests.select("key", "request").mapInPandas(ask, "key string, content string, finish string, error string")
+
+
+def envelope_client(post: Callable[[str], str]) -> Callable[[str], tuple[str, str | None]]:
+    """A client of a chat service: post sends a request's JSON and returns the body of the response.
 
-    return requests.select("key", "request").mapInPandas(ask, "key string, content string, error string")
+    Wrap post in `with_retries` first. The content and finish reason of the first choice come back.
+    """
+
+    def client(request: str) -> tuple[str, str | None]:
+        first = (json.loads(post(request)).get("choices") or [{}])[0]
+        return (first.get("message") or {}).get("content") or "", first.get("finish_reason")
+
+    return client
 
 
 def uncached(requests: DataFrame, cache: DataFrame) -> DataFrame:
