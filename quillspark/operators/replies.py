@@ -76,13 +76,18 @@ def _candidate(x: Column, i: Column) -> Column:
     return F.struct(F.coalesce(_text(_at(x, "$.tempId")), F.concat(F.lit("q"), i.cast("string"))).alias("temp_id"), ids.alias("source_ids"), number.alias("number"), F.when(full["type"].isNotNull() & full["question"].isNotNull(), full).alias("full"))
 
 
-def parsed(raw: Column) -> Column:
-    """struct(candidates, answer_section, non_question, unsupported, unresolved, error) of a reply.
+def root(raw: Column) -> Column:
+    """The VARIANT of a reply, null where it is not JSON. Raw control characters inside strings, which JSON forbids and
+    models write, are read as spaces."""
+    text = stripped(raw)
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_replace(text, r"[\x00-\x1f]", " ")))
+
 
-    Raw control characters inside strings, which JSON forbids and models write, are read as spaces.
+def parsed(root: Column) -> Column:
+    """struct(candidates, answer_section, non_question, unsupported, unresolved, error) of a reply's VARIANT.
+
+    Give it a column of its own: the expression names it many times.
     """
-    text = stripped(raw)
-    root = F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_replace(text, r"[\x00-\x1f]", " ")))
     asked = _at(root, "$.questions")
     error = F.when(root.isNull(), "the reply is not JSON").when(~_is(root, "OBJECT"), "the reply is not one JSON object").when(asked.isNotNull() & ~_is(asked, "ARRAY"), "questions is not an array")
     section = F.array_distinct(F.flatten(F.transform(_objects(_at(root, "$.answerSections")), lambda s: _strings(_at(s, "$.sourceIds")))))

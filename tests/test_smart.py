@@ -168,7 +168,7 @@ def test_bodies(spark):
 
 def test_replies_are_parsed_leniently(spark):
     raw = ['{"questions": "x"}', "[1]", '{"questions": [1, {"tempId": 3, "sourceIds": ["a", 2], "originalQuestionNumber": 2.0}], "unresolvedSourceIds": "u"}', '{"nonQuestionSourceIds": ["a\nb"]}', "{", None]
-    got = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, r string").select("i", replies.parsed(F.col("r")).alias("p")).orderBy("i").collect()
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, r string").select("i", replies.root(F.col("r")).alias("v")).select("i", replies.parsed(F.col("v")).alias("p")).orderBy("i").collect()
     assert [bool(g.p.error) for g in got] == [True, True, False, False, True, True]
     c = got[2].p.candidates[0]
     assert (c.temp_id, c.source_ids, c.number, c.full, got[2].p.unresolved, got[3].p.non_question) == ("q0", ["a"], 2, None, ["u"], ["a b"])
