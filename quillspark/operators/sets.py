@@ -33,6 +33,28 @@ def overlaps(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return a.join(b, on).select(F.col(f"a.{key}").alias(key), F.col("a.id").alias("first"), F.col("b.id").alias("second"))
 
 
+def containing(texts: DataFrame, text_key: str, values: DataFrame, value_key: str, text: str = "text", words: int = 5) -> DataFrame:
+    """(text_key, value_key) of all pairs where a value's words stand in a text one after the other; white space aside.
+
+    A value is looked up by the hash of the run of five of its words (fewer: all) that the fewest values share, an
+    equi-join with the runs of the texts; what meets is verified on whole texts. Values without words stand nowhere.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    cut = lambda c: F.when(c != "", F.split(c, " "))
+    v = values.select(F.col(value_key).alias("_v"), plain(F.col(text)).alias("_value")).where("_value <> ''").withColumn("_words", cut(F.col("_value"))).withColumn("_n", F.least(F.size("_words"), F.lit(words)))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1))), lambda i: F.xxhash64(n, F.array_join(F.slice("_words", i, n), " ")))
+    each = v.select("_v", "_value", "_n", F.posexplode(runs(F.col("_n"))).alias("_at", "_run"))
+    shared = each.groupBy("_run").agg(F.count("*").alias("_shared"))
+    rarest = each.join(shared, "_run").groupBy("_v", "_value", "_n").agg(F.min_by("_run", F.struct("_shared", "_at")).alias("_run"))
+    lengths = sorted(r["_n"] for r in v.select("_n").distinct().collect())  # at most `words` numbers
+    t = texts.select(F.col(text_key).alias("_t"), plain(F.col(text)).alias("_text")).where("_text <> ''")
+    cutted = t.withColumn("_words", cut(F.col("_text")))
+    own = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[F.when(F.size("_words") >= n, runs(F.lit(n))).otherwise(F.array().cast("array<bigint>")) for n in lengths]))
+    met = cutted.select("_t", F.explode(own).alias("_run")).join(rarest, "_run").select("_t", "_v", "_value").distinct()
+    found = met.join(t, "_t").where(F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_value", F.lit(" "))))
+    return found.select(F.col("_t").alias(text_key), F.col("_v").alias(value_key)).distinct()
+
+
 def accepted_in_order(spans: Column) -> Column:
     """Of an array of spans (start, end, ...), in order, those that overlap none accepted before."""
     return F.aggregate(spans, F.slice(spans, 1, 0), lambda acc, s: F.when(F.exists(acc, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(s))))

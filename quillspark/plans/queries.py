@@ -19,7 +19,9 @@ from quillspark.functions import text as T
 from quillspark.operators import blocks as B
 from quillspark.operators import ledger as L
 from quillspark.operators import practice as P
+from quillspark.operators import replies, requests
 from quillspark.operators import sets as X
+from quillspark.operators import standard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -247,14 +249,11 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.overlaps(s)
 
 
-@query("""WITH d AS (SELECT doc_id, text FROM documents), b AS (SELECT item_id, text FROM benchmark)
-SELECT d.doc_id, b.item_id, contains(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')) AS traceable FROM d JOIN b ON d.doc_id % 40 = b.item_id % 40""")
+@query(r"""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS v FROM benchmark WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> '')
+SELECT d.doc_id, b.item_id FROM d JOIN b ON contains(d.t, b.v)""")
 def traceable_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a claimed text stands in its claimed source, white space aside."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("k"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value"), (F.col("item_id") % 40).alias("k"))
-    plain = lambda c: F.regexp_replace(c, r"\s+", "")
-    return d.join(b, "k").select("doc_id", "item_id", F.contains(plain("text"), plain("value")).alias("traceable"))
+    """All pairs of a text and a value whose words stand in it, one after the other."""
+    return X.containing(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
 
 
 @query(r"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY regexp_replace(text, '\s+', '', 'g') ORDER BY doc_id) = 1")
@@ -307,11 +306,11 @@ def kinds_and_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT p_partkey, 'stem ' || p_name || ' A. ' || p_brand || ' B、' || p_type || CASE WHEN p_size % 2 = 0 THEN ' C) third' ELSE '' END AS line, p_name, p_brand, p_type, p_size FROM part)
-SELECT p_partkey, 'stem ' || p_name AS leading, 'A=' || p_brand || '|B=' || p_type || CASE WHEN p_size % 2 = 0 THEN '|C=third' ELSE '' END AS options FROM o WHERE NOT regexp_matches(p_name || p_brand || p_type, '[A-Ha-h][.):]')""")
+SELECT p_partkey, 'stem ' || p_name AS leading, 'A=' || p_brand || '|B=' || p_type || CASE WHEN p_size % 2 = 0 THEN '|C=third' ELSE '' END AS options FROM o""")
 def inline_option_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options inside a line."""
     line = F.concat(F.lit("stem "), "p_name", F.lit(" A. "), "p_brand", F.lit(" B、"), "p_type", F.when(F.col("p_size") % 2 == 0, " C) third").otherwise(""))
-    found = table(spark, sf_dir, "part").where(~F.concat("p_name", "p_brand", "p_type").rlike("[A-Ha-h][.):]")).select("p_partkey", O.inline_options(line).alias("i"))
+    found = table(spark, sf_dir, "part").select("p_partkey", O.inline_options(line).alias("i"))
     return found.select("p_partkey", "i.leading", F.array_join(F.transform("i.options", lambda o: F.concat(o["key"], F.lit("="), o["text"])), "|").alias("options"))
 
 
@@ -410,13 +409,37 @@ def failure_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.failures(f.where("what IS NOT NULL"))
 
 
-@query()
-def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request chunks of all lines of the documents, with their slices; tests compare them with a loop."""
-    from quillspark.operators import smart
+_SOFT = "CASE WHEN length(t) > 12000 AND length(regexp_extract(substr(t, {a} + 6001, greatest(least({a} + 12000, length(t)) - {a} - 6000, 0)), '(?s)^.*[\n。；;]')) > 0 THEN {a} + 6000 + length(regexp_extract(substr(t, {a} + 6001, greatest(least({a} + 12000, length(t)) - {a} - 6000, 0)), '(?s)^.*[\n。；;]')) ELSE least({a} + 12000, length(t)) END"
+
 
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, n AS source_order, lines[n + 1] AS t FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, string_split(text, chr(10)) AS lines, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents) WHERE regexp_matches(lines[n + 1], '[^\\s]')),
+cut AS (SELECT doc_id, source_order, t, 0 AS a, {_SOFT.format(a="0")} AS b FROM l UNION ALL SELECT doc_id, source_order, t, b, {_SOFT.format(a="b")} FROM cut WHERE b < length(t)),
+p AS (SELECT doc_id, source_order, a, b, (b - a + 1) // 2 + 80 AS cost, row_number() OVER (PARTITION BY doc_id ORDER BY source_order, a) - 1 AS n FROM cut),
+s AS (SELECT *, sum(cost) OVER (PARTITION BY doc_id ORDER BY n) AS total, count(*) OVER (PARTITION BY doc_id) AS size FROM p),
+j AS (SELECT x.doc_id, x.n, x.size, greatest(x.n + 1, least(x.n + 48, coalesce(max(y.n), -1) + 1)) AS e FROM s x LEFT JOIN s y ON y.doc_id = x.doc_id AND y.total <= x.total - x.cost + 6000 AND y.n BETWEEN x.n AND x.n + 48 GROUP BY x.doc_id, x.n, x.size),
+c AS (SELECT doc_id, 0 AS chunk, n, e, size FROM j WHERE n = 0 UNION ALL SELECT j.doc_id, c.chunk + 1, j.n, j.e, j.size FROM c JOIN j ON j.doc_id = c.doc_id AND j.n = greatest(c.n + 1, c.e - 2) WHERE c.e < c.size)
+SELECT c.doc_id, CAST(c.chunk AS INTEGER) AS chunk, CAST(p.n - c.n AS INTEGER) AS "position", 'p' || p.source_order AS source_id, CAST(p.a AS INTEGER) AS char_start, CAST(p.b AS INTEGER) AS char_end, CAST(p.cost AS INTEGER) AS tokens FROM c JOIN p ON p.doc_id = c.doc_id AND p.n >= c.n AND p.n < c.e""")
+def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request chunks of all lines of the documents, with their slices."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("source_order", "raw_text"))
-    return smart.chunk_table(lines.withColumn("source_id", F.concat(F.lit("p"), F.col("source_order").cast("string"))))
+    return requests.chunk_table(_blocks(lines))
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """lines(doc_id, source_order, raw_text) that are not blank as paragraphs without numbering and images."""
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    made = lines.select("doc_id", F.concat(F.lit("p"), F.col("source_order").cast("string")).alias("source_id"), F.col("source_order").cast("int").alias("source_order"), F.lit("paragraph").alias("source_type"), "raw_text", null("struct<num_id:string,level:int,display_text:string>", "numbering"), null("struct<table_source_id:string,row:int,column:int>", "table_pos"), F.array().cast(f"array<{B.IMAGE}>").alias("images"), F.col("source_order").cast("int").alias("order_start"), F.col("source_order").cast("int").alias("order_end"), null("string", "unsupported_reason"))
+    return B.non_empty(made)
+
+
+def _quiz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as a quiz: a document a size, four blocks a part. Of five parts one lacks its answer, one has an
+    explanation over two blocks; a long option goes on in the next block."""
+    k = F.col("p_partkey")
+    last = F.when(k % 5 == 0, F.lit("no more")).when(k % 5 == 1, F.lit("解析：because it is so")).otherwise(F.lit(" "))
+    texts = [F.concat(k.cast("string"), F.lit(". "), F.col("p_name")), F.concat(F.lit("A. "), "p_brand", F.lit("\nB. "), "p_type"), F.when(k % 5 == 0, F.lit("goes on")).otherwise(F.concat(F.lit("答案："), F.when(k % 2 == 0, "A").otherwise("A、B"))), last]
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("d"), F.col("p_size").cast("string")).alias("doc_id"), k.alias("k"), F.posexplode(F.array(*texts)).alias("j", "raw_text"))
+    return _blocks(part.select("doc_id", (F.col("k") * 4 + F.col("j")).alias("source_order"), "raw_text"))
 
 
 @query()
@@ -424,3 +447,104 @@ def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """objects recovered from damaged question lists."""
     damaged = F.concat(F.lit('```json\n[{"question": "q", "answer": "AB", "options": {"A": "x", "B": "y"}}, {"question": "'), F.substring("props", 2, 4), F.lit('", "answer": ["'), F.col("event_type"), F.lit('"'))
     return table(spark, sf_dir, "events").select("event_id", R.recovered(damaged).alias("r")).select("event_id", F.size("r.objects").alias("objects"), "r.partial")
+
+
+_SQL_QUIZ = """k AS (SELECT 'd' || p_size AS doc_id, p_partkey AS k, p_name, p_brand, p_type, CASE WHEN p_partkey % 5 IN (0, 1) THEN 4 ELSE 3 END AS blocks, p_partkey % 5 <> 0 AS good FROM part),
+i AS (SELECT *, 'p' || k * 4 || ',p' || k * 4 + 1 || ',p' || k * 4 + 2 || CASE WHEN blocks = 4 THEN ',p' || k * 4 + 3 ELSE '' END AS source_ids FROM k)"""
+
+
+@query(f"""WITH {_SQL_QUIZ} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS index, CAST(k AS INTEGER) AS original_id, CASE WHEN k % 2 = 0 THEN 'single' ELSE 'multiple' END AS kind, p_name AS question, 'A=' || p_brand || '|B=' || p_type AS options, CASE WHEN k % 2 = 0 THEN 'A' ELSE 'A,B' END AS answer, CASE WHEN k % 5 = 1 THEN 'because it is so' END AS explanation, source_ids FROM i WHERE good""")
+def standard_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that the standard recogniser accepts."""
+    q = standard.recognize(_quiz(spark, sf_dir))["questions"]
+    return q.select("doc_id", "index", "original_id", "kind", "question", F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit("="), o["text"])), "|").alias("options"), F.array_join("answer", ",").alias("answer"), "explanation", F.array_join("source_ids", ",").alias("source_ids"))
+
+
+@query(f"""WITH {_SQL_QUIZ} SELECT doc_id, CAST(k AS INTEGER) AS original_number, CASE WHEN good THEN 'ACCEPTED_QUESTION' ELSE 'REJECTED_QUESTION' END AS status, CASE WHEN NOT good THEN 'MISSING_ANSWER' END AS reason_code, source_ids FROM i""")
+def standard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the standard recogniser with the reason of a refusal."""
+    r = standard.recognize(_quiz(spark, sf_dir))["records"]
+    return r.select("doc_id", "original_number", "status", "reason_code", F.array_join("source_ids", ",").alias("source_ids"))
+
+
+@query(f"""WITH {_SQL_QUIZ} SELECT doc_id, CAST(sum(blocks) AS INTEGER) AS total_blocks, CAST(count(*) FILTER (good) AS INTEGER) AS accepted, CAST(count(*) FILTER (NOT good) AS INTEGER) AS rejected, CAST(count(*) AS INTEGER) AS candidates, 0 AS non_question, 0 AS unsupported, true AS ledger_complete, bool_or(NOT good) AS uncertain FROM i GROUP BY 1""")
+def standard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the standard recogniser by document."""
+    r = L.balanced(standard.recognize(_quiz(spark, sf_dir))["report"])
+    return r.select("doc_id", "total_blocks", "accepted", "rejected", "candidates", "non_question", "unsupported", "ledger_complete", "uncertain")
+
+
+_REPLY = """'{"questions": [{"tempId": "t' || k || '", "sourceIds": ["p' || (k * 4) || '"], "originalQuestionNumber": ' || k || ', "type": "' || CASE WHEN k % 3 = 0 THEN 'essay' ELSE 'Multi' END || '", "question": "' || p_name || '", "options": [{"key": "a", "text": "' || p_brand || '"}], "answer": "A", "questionSource": "p' || (k * 4) || '", "optionSources": {"a": ["p' || CASE WHEN k % 7 = 0 THEN 'x' ELSE CAST(k * 4 AS VARCHAR) END || '"]}}], "nonQuestionSourceIds": ["p' || (k * 4 + 1) || '"]' || CASE WHEN k % 11 = 0 THEN '' ELSE '}' END"""
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, p_name, p_brand FROM part)
+SELECT k, k % 11 = 0 AS broken, k % 11 = 0 AS truncated, CASE WHEN k % 11 <> 0 THEN CAST(k AS INTEGER) END AS number, CASE WHEN k % 11 <> 0 THEN p_name END AS question, CASE WHEN k % 11 <> 0 THEN 'A=p' || CASE WHEN k % 7 = 0 THEN 'x' ELSE CAST(k * 4 AS VARCHAR) END END AS option_source, k % 11 <> 0 AND k % 7 = 0 AS outside, k % 11 <> 0 AS covering FROM k""")
+def reply_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies parsed, held against their request and the blocks they must cover."""
+    raw = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "p_name", "p_brand").selectExpr("k", f"{_REPLY.replace('VARCHAR', 'STRING')} AS raw")
+    at = raw.withColumn("v", replies.root(F.col("raw"))).select("k", "raw", replies.parsed(F.col("v")).alias("r"), F.array(F.concat(F.lit("p"), F.col("k") * 4), F.concat(F.lit("p"), F.col("k") * 4 + 1)).alias("sent"))
+    first = F.get("r.candidates", F.lit(0))
+    source = F.element_at(F.filter(first["full"]["fields"], lambda f: f["name"] == "optionSources.A"), 1)
+    good = F.col("r.error").isNull()
+    return at.select("k", ~good, R.truncated(F.col("raw")), first["number"], first["full"]["question"], F.concat(F.lit("A="), F.get(source["ids"], F.lit(0))), good & replies.scope_error(F.col("r"), F.col("sent")).isNotNull(), good & replies.covering(F.col("r"), F.col("sent"))).toDF("k", "broken", "truncated", "number", "question", "option_source", "outside", "covering")
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, p_size, p_name, p_brand, p_type FROM part)
+SELECT k, CASE WHEN k % 13 = 0 THEN 'MISSING_STEM' WHEN k % 11 = 0 THEN 'API_HALLUCINATED_CONTENT' WHEN k % 7 = 0 THEN 'INVALID_QUESTION_TYPE' WHEN k % 5 = 0 THEN 'SOURCE_NOT_COVERED' WHEN k % 3 = 0 THEN 'API_HALLUCINATED_CONTENT' WHEN k % 2 = 0 THEN 'ANSWER_NOT_IN_OPTIONS' END AS reason, CASE WHEN k % 2 = 0 THEN 'C' ELSE 'A' END AS answer, CASE WHEN k % 11 = 0 THEN 'neverwritten' ELSE lower(replace(p_name, ' ', '')) END AS stem FROM k""")
+def candidate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates against their blocks, the first of the ordered checks that fails."""
+    k = F.col("p_partkey")
+    pick = lambda n, a, b: F.when(k % n == 0, a).otherwise(b)
+    text = F.concat(k.cast("string"), F.lit(". "), F.initcap("p_name"), F.lit("\nA. "), "p_brand", F.lit("\nB. "), "p_type", pick(5, F.lit("\nD. more"), F.lit("")), F.lit("\n答案："), pick(2, F.lit("C"), F.lit("A")))
+    part = table(spark, sf_dir, "part").withColumn("doc_id", F.concat(F.lit("d"), F.col("p_size").cast("string")))
+    blocks = replies.prepared(_blocks(part.select("doc_id", k.alias("source_order"), text.alias("raw_text"))))
+    ids = F.array(F.concat(F.lit("p"), k.cast("string")))
+    none = F.array().cast("array<string>")
+    option = lambda key, c: F.struct(F.lit(key).alias("key"), c.alias("text"))
+    entry = lambda name, x: F.struct(F.lit(name).alias("name"), x.alias("ids"))
+    full = F.struct(
+        pick(7, F.lit("essay"), F.lit("single")).alias("type"), F.when(k % 11 == 0, F.lit("never written")).otherwise(F.initcap("p_name")).alias("question"), F.array(option("a", F.col("p_brand")), option("B", pick(3, F.concat("p_type", F.lit("!")), F.col("p_type")))).alias("options"), F.array(pick(2, F.lit("C"), F.lit("A"))).alias("answer"),
+        F.lit(None).cast("string").alias("explanation"), F.lit(None).cast("string").alias("knowledge"), k.cast("int").alias("number"), ids.alias("source_ids"), F.array(entry("questionSource", F.when(k % 13 == 0, none).otherwise(ids)), entry("optionSources.A", ids), entry("optionSources.B", ids), entry("answerSource", ids)).alias("fields"),
+    )
+    rows = part.select("doc_id", k.alias("k"), full.alias("full"), ids.alias("allowed"), none.alias("section"))
+    done = replies.checked(rows, blocks, ["doc_id", "k"])
+    return done.select("k", F.col("problem.reason").alias("reason"), F.array_join("question.answer", ",").alias("answer"), F.lower(F.element_at(F.split("same", r"\|"), 1)).alias("stem"))
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, p_partkey % 4 AS shown, p_partkey % 3 AS taken, 'd' || p_size AS doc_id FROM part)
+SELECT doc_id, 'p' || k AS source_id, CAST(shown AS INTEGER) AS shown, taken FROM k WHERE shown > 1 AND taken < shown""")
+def undercount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that show more question numbers than are accounted for."""
+    from quillspark.operators import smart
+
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("d"), F.col("p_size").cast("string")).alias("doc_id"), k.alias("k"))
+    text = F.concat(F.lit("text"), F.array_join(F.transform(F.slice(F.array(*[F.lit(i) for i in range(1, 4)]), 1, (F.col("k") % 4).cast("int")), lambda i: F.concat(F.lit("\n"), i.cast("string"), F.lit(". q"))), ""))
+    blocks = _blocks(part.select("doc_id", F.col("k").alias("source_order"), text.alias("raw_text")))
+    ids = F.array(F.concat(F.lit("p"), F.col("k").cast("string")))
+    questions = part.where("k % 3 > 0").select("doc_id", ids.alias("stem_sources"))
+    records = part.where("k % 3 > 1").select("doc_id", ids.alias("source_ids"), F.lit("REJECTED_QUESTION").alias("status"))
+    return smart.undercounted(blocks, questions, records).select("doc_id", "source_id", "shown", "taken")
+
+
+@query("""WITH d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE length(text) >= 800)
+SELECT doc_id, CAST(0 AS INTEGER) AS left_start, CAST(least(n // 2 + least(400, greatest(100, n // 10)), n - 1) AS INTEGER) AS left_end, CAST(greatest(n // 2 - least(400, greatest(100, n // 10)), 1) AS INTEGER) AS right_start, CAST(n AS INTEGER) AS right_end FROM d
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL FROM documents WHERE text IS NULL OR length(text) < 800""")
+def request_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One slice a document, its places of question numbers blotted out, parted with an overlap."""
+    from quillspark.operators.requests import halves
+
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[0-9]", "x")
+    piece = F.struct(F.lit("p").alias("source_id"), text.alias("raw_text"), F.lit(0).alias("char_start"), F.length(text).alias("char_end"), F.lit(None).cast("struct<num_id:string,level:int,display_text:string>").alias("numbering"))
+    at = table(spark, sf_dir, "documents").select("doc_id", F.array(piece).alias("p")).withColumn("h", halves(F.col("p")))
+    place = lambda i, name: F.get(F.get("h", F.lit(i)), F.lit(0))[name]
+    return at.select("doc_id", place(0, "char_start").alias("left_start"), place(0, "char_end").alias("left_end"), place(1, "char_start").alias("right_start"), place(1, "char_end").alias("right_end"))
+
+
+@query("""SELECT p_partkey AS k, '{"model":"m","stream":false,"thinking":{"type":"disabled"},"response_format":{"type":"json_object"},"temperature":0.0,"max_tokens":2048,"messages":[{"role":"user","content":"' AS head, p_name AS text FROM part""")
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of repair requests, and the block's text read back from its message."""
+    k = F.col("p_partkey")
+    made = requests.repair_requests(table(spark, sf_dir, "part").select(k.cast("string").alias("doc_id"), F.lit("p").alias("source_id"), F.col("p_name").alias("raw_text")), "m")
+    content = F.get_json_object("request", "$.messages[0].content")
+    return made.select(F.split("key", "/")[0].cast(table(spark, sf_dir, "part").schema["p_partkey"].dataType).alias("k"), F.regexp_extract("request", '^(.*"content":")', 1).alias("head"), F.get_json_object(F.regexp_extract(content, r"(?s)(\{[^{]*\})$", 1), "$.raw_text").alias("text"))
