@@ -1,19 +1,23 @@
 """The quiz store: six Parquet tables in versioned folders, with appends, upserts, updates and cascading deletes.
 
-A table's folder holds one folder a version; a change writes the next version whole, and the manifest, a one-row table
-written last, names the current versions. A reader sees the old state until then, and a failed change leaves only an
-unnamed folder. Parquet stands in for a table format here, since none is installed; on a cluster the same calls map to
+A table's folder holds one folder a version; a change writes the next version whole, and the manifest, a small file
+created last and exclusively, names the current versions. A reader sees the old state until then, a failed change leaves
+only unnamed folders, and of two changes that read the same version of a table the later one starts anew. Parquet stands in for a table format here, since none is installed; on a cluster the same calls map to
 its MERGE and DELETE.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.written import written
+
 from . import practice, sets
 
 OPTIONS = "array<struct<key:string,text:string,image:string,image_uri:string,image_uris:array<string>>>"
@@ -29,6 +33,33 @@ TABLES = {
 NEW_BANK = "新题库"
 
 
+class Conflict(Exception):
+    """Another commit changed the named tables after they were read."""
+
+
+def _again(change):
+    """A change that starts anew, from what the tables then hold, where another commit came between; five times at most."""
+
+    @functools.wraps(change)
+    def tried(self, *args, **more):
+        if self._inside:
+            return change(self, *args, **more)
+        self._inside = True
+        try:
+            for left in range(4, -1, -1):
+                self._seen.clear()
+                try:
+                    return change(self, *args, **more)
+                except Conflict:
+                    if not left:
+                        raise
+        finally:
+            self._seen.clear()
+            self._inside = False
+
+    return tried
+
+
 class Store:
     """The tables under a path. clock gives epoch milliseconds; tests fix it."""
 
@@ -36,40 +67,89 @@ class Store:
         import time
 
         self.spark, self.path, self.clock = spark, path.rstrip("/"), clock or (lambda: int(time.time() * 1000))
+        self._seen: dict[str, str | None] = {}  # the versions that a change has read
+        self._inside = False
 
     # Versions -------------------------------------------------------------------------------------------------------
 
-    def _manifest(self) -> dict[str, str]:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        fs = folder.getFileSystem(conf)
-        done = sorted(s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(folder) else []
-        self._next = f"{int(done[-1].split('-')[0]) + 1 if done else 0:012d}-{uuid.uuid4().hex[:8]}"
-        return {r["name"]: r["version"] for r in self.spark.read.schema("name string, version string").parquet(f"{self.path}/manifest/{done[-1]}").collect()} if done else {}
+    def _files(self):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(f"{self.path}/manifest")
+        return hadoop, folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _manifest(self, patience: int = 0) -> tuple[int, dict[str, str]]:
+        """(the next free number, versions by table) of the newest manifest that was written to its end.
+
+        With patience, a newest one that is not is looked at again so often: its writer may be about to end it.
+        """
+        import time
+
+        hadoop, folder, fs = self._files()
+        names = sorted((s.getPath().getName() for s in fs.listStatus(folder)), reverse=True) if fs.exists(folder) else []
+        for name in names:
+            stream = fs.open(hadoop.Path(folder, name))
+            try:
+                return int(names[0].split(".")[0]) + 1, json.loads(bytes(stream.readAllBytes()))
+            except ValueError:  # its writer was lost: the one before holds
+                if name == names[0] and patience:
+                    time.sleep(0.2)
+                    return self._manifest(patience - 1)
+                continue
+            finally:
+                stream.close()
+        return int(names[0].split(".")[0]) + 1 if names else 0, {}
 
     def table(self, name: str) -> DataFrame:
-        version = self._manifest().get(name)
+        version = self._manifest()[1].get(name)
+        self._seen.setdefault(name, version)
         schema = TABLES[name][0]
         # Columns that an older version lacks read as null.
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{version}") if version else self.spark.createDataFrame([], schema)
 
     def commit(self, changes: dict[str, DataFrame]) -> None:
-        """New contents of some tables, all or none."""
-        now = self._manifest()
+        """New contents of some tables, all or none.
+
+        The manifest's file is created exclusively. Where another commit took the number, this one goes behind it, unless
+        that one changed a table which this one read before: then Conflict is raised and nothing changes.
+        """
         written = {}
         for name, df in changes.items():
             version = uuid.uuid4().hex
             columns = self.spark.createDataFrame([], TABLES[name][0]).schema
             df.select(*[F.col(c.name).cast(c.dataType) if c.name in df.columns else F.lit(None).cast(c.dataType).alias(c.name) for c in columns]).write.parquet(f"{self.path}/{name}/{version}")
             written[name] = version
-        self.spark.createDataFrame(sorted((now | written).items()), "name string, version string").coalesce(1).write.parquet(f"{self.path}/manifest/{self._next}")
+        hadoop, folder, fs = self._files()
+        while True:
+            number, now = self._manifest(patience=25)
+            if any(now.get(name) != version for name, version in self._seen.items()):
+                raise Conflict(sorted(name for name, version in self._seen.items() if now.get(name) != version))
+            try:
+                out = fs.create(hadoop.Path(folder, f"{number:012d}.json"), False)
+            except Exception:
+                if self._manifest()[0] == number:
+                    raise
+                continue
+            out.write(bytearray(json.dumps(now | written).encode()))
+            out.close()
+            self._seen.clear()
+            return
 
     # Changes --------------------------------------------------------------------------------------------------------
 
     def numbered(self, name: str, rows: DataFrame, order: list[Column]) -> DataFrame:
-        """rows with dense ids behind the table's highest, in the given order."""
+        """rows with dense ids behind the table's highest, in the given order, and their place among themselves.
+
+        Range partitions are sorted and written once; one number a partition reaches the driver.
+        """
         top = self.table(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long") + top)
+        made = written(rows.drop("id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+        part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+        before, base = 0, []
+        for r in made.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+            base += [F.lit(r["part"]).cast("long"), F.lit(before).cast("long")]
+            before += r["n"]
+        place = (F.element_at(F.create_map(*base), part) if base else F.lit(0)) + at
+        return made.withColumns({"id": place.cast("long") + top + 1, "place": place.cast("int")}).drop("_m")
 
     def replaced(self, name: str, rows: DataFrame) -> dict[str, DataFrame]:
         """Changes of an upsert: rows of the same key go, and with them what refers to them."""
@@ -96,29 +176,40 @@ class Store:
 
     # What the application does --------------------------------------------------------------------------------------
 
+    @_again
     def create_bank(self, name: str, questions: DataFrame | None = None, order: str = "index") -> int:
         """A new bank, with questions in one change; its id."""
-        now = self.clock()
-        bank_id = self.table("banks").agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
-        bank = self.spark.createDataFrame([(bank_id, name if name.strip() else NEW_BANK, now, now, None)], TABLES["banks"][0])
-        changes = {"banks": self.table("banks").unionByName(bank)}
+        bank_id, changes = self._new_bank(name)
         if questions is not None:
-            changes["questions"] = self.table("questions").unionByName(self.numbered("questions", questions.withColumn("bank_id", F.lit(bank_id)), [F.col(order)]).select(*self._own("questions", questions)), allowMissingColumns=True)
+            changes |= self._appended(bank_id, questions, order)[0]
         self.commit(changes)
         return bank_id
 
+    def _new_bank(self, name: str) -> tuple[int, dict[str, DataFrame]]:
+        now, banks = self.clock(), self.table("banks")
+        bank_id = banks.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+        bank = self.spark.createDataFrame([(bank_id, name if name.strip() else NEW_BANK, now, now, None)], TABLES["banks"][0])
+        return bank_id, {"banks": banks.unionByName(bank)}
+
+    def _appended(self, bank_id: int, questions: DataFrame, order: str) -> tuple[dict[str, DataFrame], DataFrame]:
+        """Changes of an append, and (id, index) of the new questions by place."""
+        made = self.numbered("questions", questions.withColumn("bank_id", F.lit(bank_id)), [F.col(order)])
+        changes = {"questions": self.table("questions").unionByName(made.select(*self._own("questions", questions)), allowMissingColumns=True)}
+        return changes, made.select("id", F.col("place").alias("index"))
+
     def _own(self, name: str, rows: DataFrame) -> list[str]:
         known = self.spark.createDataFrame([], TABLES[name][0]).columns
         return [c for c in known if c in {*rows.columns, "id", "bank_id"}]
 
+    @_again
     def append_questions(self, bank_id: int, questions: DataFrame, order: str = "index") -> DataFrame:
         """Questions behind the bank's; their ids by place."""
-        made = self.numbered("questions", questions.withColumn("bank_id", F.lit(bank_id)), [F.col(order)])
-        ids = [(r["id"], n) for n, r in enumerate(made.select("id").orderBy("id").collect())]  # the bank's new ids
-        if ids:
-            self.commit({"questions": self.table("questions").unionByName(made.select(*self._own("questions", questions)), allowMissingColumns=True)} | self.touch(bank_id))
-        return self.spark.createDataFrame(ids, "id long, index int")
+        changes, ids = self._appended(bank_id, questions, order)
+        if ids.head(1):
+            self.commit(changes | self.touch(bank_id))
+        return ids
 
+    @_again
     def submit(self, events: DataFrame) -> None:
         """Attempts(question_id, bank_id, selected, is_correct, answered_at) counted and kept as the last ones."""
         old = self.table("attempts")
@@ -131,21 +222,27 @@ class Store:
         banks = self.table("banks").join(at, F.col("id") == F.col("bank_id"), "left")
         return {"banks": banks.withColumns({c: F.greatest(c, "_at") for c in ("updated_at", "last_practiced_at")})}
 
+    @_again
     def save_progress(self, rows: DataFrame) -> None:
         """Places of sequential rounds; random and wrong ones are not kept."""
         self.commit(self.replaced("progress", practice.progress_after(rows)))
 
+    @_again
     def save_report(self, report: DataFrame, records: DataFrame, ids: DataFrame | None = None) -> None:
         """A report and its records; a report of the same id goes with its records. Places become the ids they got."""
-        rows = records.withColumn("_places", F.coalesce("question_indexes", F.array().cast("array<int>")))
-        if ids is not None:
-            got = ids.agg(F.map_from_entries(F.collect_list(F.struct("index", "id"))).alias("_ids"))
-            rows = rows.crossJoin(F.broadcast(got)).withColumn("question_ids", F.array_distinct(F.filter(F.transform("_places", lambda i: F.col("_ids")[i]), lambda i: i.isNotNull())))  # one row of ids
+        self.commit(self._reported(report, records, ids))
+
+    def _reported(self, report: DataFrame, records: DataFrame, ids: DataFrame | None) -> dict[str, DataFrame]:
         changes = self.replaced("reports", report)
         kept = changes.get("report_records", self.table("report_records"))
-        changes["report_records"] = kept.unionByName(self.numbered("report_records", rows, [F.col("report_id"), F.col("order")]).select(*self._own("report_records", rows)), allowMissingColumns=True)
-        self.commit(changes)
+        rows = self.numbered("report_records", records, [F.col("report_id"), F.col("order")])
+        if ids is not None:
+            places = rows.select("id", F.posexplode("question_indexes").alias("_n", "index"))
+            got = places.join(ids.withColumnRenamed("id", "_q"), "index").groupBy("id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_q"))), lambda x: x["_q"])).alias("question_ids"))
+            rows = rows.drop("question_ids").join(got, "id", "left").withColumn("question_ids", F.coalesce("question_ids", F.array().cast("array<long>")))
+        return changes | {"report_records": kept.unionByName(rows.select(*self._own("report_records", rows)), allowMissingColumns=True)}
 
+    @_again
     def delete_bank(self, bank_id: int) -> DataFrame:
         """Removes a bank with all that belongs to it; returns the image paths that nothing else refers to."""
         refs = image_paths(self.table("questions"))
@@ -155,28 +252,26 @@ class Store:
         self.commit(changes)
         return self.spark.createDataFrame(orphans, "path string")
 
+    @_again
     def clear(self, seed: DataFrame | None = None, name: str = "网络互联") -> None:
         """Empties all tables, then seeds them."""
         self.commit({t: self.spark.createDataFrame([], s) for t, (s, _, _) in TABLES.items()})
         self.seed(seed, name)
 
+    @_again
     def seed(self, questions: DataFrame | None, name: str = "网络互联") -> None:
         """A first bank, only where there is none."""
         if questions is not None and not self.table("banks").head(1):
             self.create_bank(name, questions)
 
+    @_again
     def commit_import(self, name: str, found: dict[str, DataFrame], report: DataFrame, bank_id: int | None = None) -> int:
         """A recognised document as questions of a bank (a new one if none is given) with its report; nothing stays of
         it if a step fails."""
-        before = self._manifest()
-        try:
-            target = bank_id if bank_id is not None else self.create_bank(name)
-            ids = self.append_questions(target, found["questions"].select("index", *[c for c in ("original_id", "kind", "question", "answer", "explanation", "knowledge") if c in found["questions"].columns]))
-            self.save_report(report.withColumn("bank_id", F.lit(target)), found["records"], ids)
-        except Exception:
-            self._manifest()
-            self.spark.createDataFrame(sorted(before.items()), "name string, version string").coalesce(1).write.parquet(f"{self.path}/manifest/{self._next}")
-            raise
+        target, changes = (bank_id, self.touch(bank_id)) if bank_id is not None else self._new_bank(name)
+        questions = found["questions"].select("index", *[c for c in ("original_id", "kind", "question", "answer", "explanation", "knowledge") if c in found["questions"].columns])
+        appended, ids = self._appended(target, questions, "index")
+        self.commit(changes | appended | self._reported(report.withColumn("bank_id", F.lit(target)), found["records"], ids))
         return target
 
 

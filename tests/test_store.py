@@ -58,6 +58,22 @@ def test_a_failed_import_leaves_nothing(spark, tmp_path):
     assert s.table("banks").count() == 0 and s.table("questions").count() == 0
 
 
+def test_commits_do_not_lose_each_other(spark, tmp_path):
+    one, two = K.Store(spark, str(tmp_path), clock=lambda: 1), K.Store(spark, str(tmp_path), clock=lambda: 2)
+    rows = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "index int, question string")
+    one.create_bank("x", rows)
+    stale = two.table("banks")
+    one.create_bank("y")
+    with pytest.raises(K.Conflict):
+        two.commit({"banks": stale})
+    two._seen.clear()
+    assert two.create_bank("z") == 3 and one.table("banks").count() == 3
+    ids = {tuple(r) for r in two.append_questions(3, rows).select("id", "index").collect()}
+    assert ids == {(4, 0), (5, 1), (6, 2)} and [r.question for r in one.table("questions").orderBy("id").collect()] == ["a", "b", "c"] * 2
+    (tmp_path / "manifest" / "000000000099.json").write_text("")  # a writer that was lost
+    assert one.table("banks").count() == 3 and one.create_bank("w") == 4
+
+
 def test_seed_only_once_and_clear(spark, tmp_path):
     s, rows = K.Store(spark, str(tmp_path), clock=lambda: 1), spark.createDataFrame([(0, "Q")], "index int, question string")
     s.seed(rows)
