@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_rows, input_bytes, load, release, stored, text_batches
 
-CONTEXTS, SHARED, HOT = 32_768, 64, 4_096
+CONTEXTS, SHARED, HOT = 32_768, 32_767, 4_096  # with the start of a text, contexts fit 16 bits
 BUCKET_BYTES, BUCKETS, CHUNK_TOKENS, CHUNK_DOCS = 16 << 20, 24, 700_000, 60_000
 EXACT, BURN, SAMPLES = 100, 2, 2
 END = np.uint64(0)
