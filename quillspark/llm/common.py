@@ -31,28 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value):
+    """Actions inside run with a session setting, which is put back after them."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written once to the shared folder and read again: cuts lineage, survives lost executors.
 
-    Columns that are packed already go with compression none: a codec would hold buffers as large as their values.
+    Columns that are packed already go with compression none: a codec would hold buffers as large as their values. The
+    shuffles of the write go once the table stands.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with setting(df.sparkSession, _CLEAN, "true"):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextlib.contextmanager
 def batch_rows(spark: SparkSession, n: int):
     """Actions inside send rows to Python in batches of n."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, n)
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
+    return setting(spark, _BATCH, n)
 
 
 def text_batches(spark: SparkSession, n: int = 1000) -> None:
