@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, langid, mixing, pii, pitman_yor, quality, sharding, simhash, tokens
+from . import decontaminate, divergence, embeddings, langid, manifest, mixing, pii, pitman_yor, prefixes, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op1_pitman_yor": pitman_yor.op1_pitman_yor,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_embeddings": embeddings.op10_embeddings,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_token_counts": prefixes.op13_token_counts,
 }
 
-ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL}
+ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL, "op11_divergence": divergence.OP11_SQL, "op12_manifest": manifest.OP12_SQL}
