@@ -19,6 +19,7 @@ their own; other columns are not read; texts of any length are read whole; an em
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from operator import itemgetter
@@ -97,10 +98,11 @@ class _Held:
     key, made = None, None
 
     @classmethod
-    def of(cls, key, kept: list[str]):
+    def of(cls, key: str, packed) -> tuple:
         if cls.key != key:
             cls.made = None
-            cls.made, cls.key = automaton(kept), key
+            names = [t for part in packed.value for t in zlib.decompress(part).decode("utf-8", "replace").split(" ")]
+            cls.made, cls.key = (automaton(names), names), key
         return cls.made
 
 
@@ -108,17 +110,25 @@ _OUT = "lang string, source string, term string, n long"
 _KINDS = (pa.string(), pa.string(), pa.string(), pa.int64())
 
 
+def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's terms as one compressed value."""
+    own = [t for part in parts for t in part["term"].to_pylist()]
+    if own:
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(" ".join(own).encode())], pa.binary())], names=["terms"])
+
+
 def _named(found: dict, kept: list[str]) -> pa.RecordBatch:
     return _emptied({k: {kept[i]: n for i, n in c.items()} for k, c in found.items()}, *_KINDS)
 
 
 def _read_whole(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Occurrences by one automaton, which goes to every worker: `vocabulary` has at most SHARD terms."""
-    kept, key = docs.sparkSession.sparkContext.broadcast([r["term"] for r in vocabulary.collect()]), uuid.uuid4().hex
+    # Packed in the tasks: the driver holds a few bytes a term and never its rows.
+    packed = [bytes(r["terms"]) for r in vocabulary.mapInArrow(_packed, "terms binary").collect()]
+    kept, key = docs.sparkSession.sparkContext.broadcast(packed), uuid.uuid4().hex
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = kept.value
-        held, found, size = _Held.of(key, names), defaultdict(Counter), 0
+        (held, names), found, size = _Held.of(key, kept), defaultdict(Counter), 0
         for langs, sources, texts in _batches(parts):
             for lang, source, text in zip(langs, sources, texts, strict=True):
                 own = found[lang, source]
