@@ -1,11 +1,14 @@
 """Near-duplicate vectors by sorted projection passes.
 
 1. Equal vectors become one class, so a group of copies is compared once.
-2. In each pass every class gets 64 random hyperplane bits; classes are ordered by them, lexicographically, and each is
-   compared with the next ``window`` classes of the order. Orders come from range partitions; comparing is blockwise.
-   The number of passes follows the number of classes: enough that a pair at the threshold meets in some window with
-   the wanted probability.
+2. In each pass every class gets 64 random hyperplane bits, taken around the mean of all vectors; classes are ordered by
+   them, lexicographically, and each is compared with the next ``window`` classes of the order. Orders come from range
+   partitions; comparing is blockwise. The first round has as many passes as evenly spread vectors need for a pair at
+   the threshold to meet in some window with the wanted probability.
 3. Verified pairs of all passes are united into components by alternating stars. A block emits a star over each connected part.
+   Vectors can be crowded, so the result is measured: a set of ``PROBES`` classes drawn by hash meets all classes, in
+   blocks. While more than ``LOST`` of their links lead out of their component, another round doubles the passes; once
+   they would cost as much as comparing all blocks with all blocks, that is done instead, and nothing is missed.
 4. Links are then counted exactly inside each component, blocks against blocks, so dense groups wider than the window
    lose none: the count needs no pairs and no cap.
 
@@ -31,6 +34,8 @@ from .common import components, load, stored
 from .simhash import forest
 
 THRESHOLD, WINDOW, BLOCK, MEET = 0.9, 1024, 2048, 0.98
+#: Classes that measure a round, and the share of their links that may stay lost.
+PROBES, LOST = 2048, 0.002
 
 
 def passes(n: int, threshold: float = THRESHOLD, window: int = WINDOW, meet: float = MEET) -> int:
@@ -70,14 +75,29 @@ def _key(embedding):
     return made(embedding)
 
 
-def _orders(classes: DataFrame, n: int, seed: int) -> DataFrame:
-    """(pass, rank, class_id): the classes' places in each pass."""
+def _centres(classes: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of the unit vectors of each length. One row a component of a vector reaches the driver."""
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, part in frame.groupby(frame["embedding"].map(len)):
+                yield pd.DataFrame({"dim": np.int32(dim), "at": np.arange(dim, dtype=np.int32), "total": _unit(part["embedding"]).sum(0), "n": len(part)})
+
+    made = classes.select("embedding").mapInPandas(summed, "dim int, at int, total double, n long")
+    out: dict[int, list[float]] = {}
+    for r in made.groupBy("dim", "at").agg((F.sum("total") / F.sum("n")).alias("mean")).orderBy("dim", "at").collect():
+        out.setdefault(r["dim"], []).append(round(r["mean"], 6))
+    return {dim: np.array(mean) for dim, mean in out.items()}
+
+
+def _orders(classes: DataFrame, first: int, last: int, centres: dict[int, np.ndarray], seed: int) -> DataFrame:
+    """(pass, rank, class_id): the classes' places in the passes from first to last."""
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby(frame["embedding"].map(len)):
-                x = _unit(part["embedding"])
-                for p in range(n):
+                x = _unit(part["embedding"]) - centres[int(dim)]
+                for p in range(first, last):
                     on = x @ np.random.default_rng([seed, p, int(dim)]).normal(size=(int(dim), 64)) > 0
                     bits = np.packbits(on, axis=1).view(">u8").ravel()
                     yield pd.DataFrame({"pass": np.int32(p), "dim": np.int32(dim), "bits": (bits ^ np.uint64(1 << 63)).view(np.int64), "class_id": part["class_id"].to_numpy()})
@@ -111,22 +131,80 @@ def _windows(classes: DataFrame, orders: DataFrame, threshold: float, window: in
     placed = placed.withColumn("block", F.explode(blocks))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank", kind="stable")
-        rank, ids, out = frame["rank"].to_numpy(), frame["class_id"].to_numpy(), []
-        sizes = frame["embedding"].map(len).to_numpy()
-        for dim in np.unique(sizes):
-            on = np.flatnonzero(sizes == dim)
-            x, r = _unit(frame["embedding"].iloc[on]), rank[on]
-            linked = x @ x.T >= threshold
-            linked &= np.abs(r[:, None] - r[None, :]) <= window
-            np.fill_diagonal(linked, False)
-            pairs = on[forest(linked)]
-            out.append(pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]}))
-        return pd.concat(out)
+        return _stars(frame.sort_values("rank", kind="stable"), threshold, window)
 
     return placed.groupBy("pass", "block").applyInPandas(compare, "a long, b long").distinct()
 
 
+def _stars(frame: pd.DataFrame, threshold: float, window: int | None = None) -> pd.DataFrame:
+    """(a, b): a star over each part that links of the frame's classes connect, within windows of their ranks if given."""
+    ids, out = frame["class_id"].to_numpy(), []
+    sizes = frame["embedding"].map(len).to_numpy()
+    for dim in np.unique(sizes):
+        on = np.flatnonzero(sizes == dim)
+        x = _unit(frame["embedding"].iloc[on])
+        linked = x @ x.T >= threshold
+        if window is not None:
+            r = frame["rank"].to_numpy()[on]
+            linked &= np.abs(r[:, None] - r[None, :]) <= window
+        np.fill_diagonal(linked, False)
+        pairs = on[forest(linked)]
+        out.append(pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]}))
+    return pd.concat(out)
+
+
+def _everywhere(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Links (a, b) as in ``_windows``, of all pairs: each pair of blocks is one group of bounded size."""
+    blocks = max(1, ceil(2 * n / BLOCK))
+    own, other = F.col("own"), F.col("other")
+    placed = classes.select("class_id", "embedding", F.pmod(F.xxhash64(F.lit(13), "class_id"), F.lit(blocks)).alias("own"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = placed.select("class_id", "embedding", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
+    return placed.groupBy("i", "j").applyInPandas(lambda frame: _stars(frame, threshold), "a long, b long").distinct()
+
+
+def lost_links(classes: DataFrame, member: DataFrame, threshold: float, probes: int = PROBES, seed: int = 29) -> tuple[int, int]:
+    """Links of `probes` classes, drawn by hash, with all classes, and how many of them lead out of their component."""
+    placed = classes.select("class_id", "embedding").join(member, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    drawn = placed.orderBy(F.xxhash64(F.lit(seed), "class_id"), "class_id").limit(probes).toPandas()
+    sides = {}
+    for dim, part in drawn.groupby(drawn["embedding"].map(len)):
+        sides[int(dim)] = (_unit(part["embedding"]), part["class_id"].to_numpy(), part["component"].to_numpy())
+    held = classes.sparkSession.sparkContext.broadcast(sides)
+
+    def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, part in frame.groupby(frame["embedding"].map(len)):
+                if int(dim) not in held.value:
+                    continue
+                x, ids, components_ = held.value[int(dim)]
+                for at in range(0, len(part), BLOCK):
+                    some = part.iloc[at : at + BLOCK]
+                    linked = (_unit(some["embedding"]) @ x.T >= threshold) & (some["class_id"].to_numpy()[:, None] != ids[None, :])
+                    lost = linked & (some["component"].to_numpy()[:, None] != components_[None, :])
+                    yield pd.DataFrame({"links": [int(linked.sum())], "lost": [int(lost.sum())]})
+
+    row = placed.mapInPandas(met, "links long, lost long").agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("lost"), F.lit(0))).first()
+    return int(row[0]), int(row[1])
+
+
+def _members(classes: DataFrame, n: int, threshold: float, window: int, meet: float, seed: int) -> DataFrame:
+    """(class_id, component) of the linked classes, by rounds of passes until the probes find (nearly) no lost link."""
+    centres, edges, done = _centres(classes), None, 0
+    last = passes(n, threshold, window, meet)
+    while True:
+        whole = done > 0 and last * BLOCK >= n
+        found = _everywhere(classes, n, threshold) if whole else _windows(classes, _orders(classes, done, last, centres, seed), threshold, window)
+        edges = stored(found if edges is None or whole else edges.unionByName(found), "links")
+        member = stored(components(edges).select(F.col("node").alias("class_id"), "component"), "members")
+        if whole:
+            return member
+        links, lost = lost_links(classes, member, threshold)
+        if lost <= LOST * links:
+            return member
+        done, last = last, 2 * last
+
+
 def _counts(classes: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
     """(class_id, other): vectors of other classes of the component that link with the class."""
     placed = member.join(classes.select("class_id", "n", "embedding"), "class_id")
@@ -159,8 +237,7 @@ def cluster(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WIND
     # Numbered as they are written, so the numbers are distinct and stay; the whole digest tells classes apart.
     whole = stored(whole.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     n = whole.count()
-    edges = _windows(whole, _orders(whole, passes(n, threshold, window, meet), seed), threshold, window)
-    member = stored(components(edges).select(F.col("node").alias("class_id"), "component"), "members")
+    member = _members(whole, n, threshold, window, meet, seed)
     counts = _counts(whole, member, threshold)
     least = member.join(whole.select("class_id", "rep"), "class_id").groupBy("component").agg(F.min("rep").alias("least"))
     found = whole.select("key", "class_id", "rep", "n").join(member, "class_id", "left").join(least, "component", "left").join(counts, "class_id", "left")
