@@ -172,7 +172,9 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def build(languages: list[str], rows: list[tuple[str, str, int]]) -> Model:
-    """The models from (language, 4-gram, count)."""
+    """The models from (language, 4-gram, count); none where there is no row."""
+    if not rows:
+        return Model([])
     model, many = Model(languages), len(languages)
     of = {x: i for i, x in enumerate(languages)}
     grams = sorted({g for _, g, _ in rows})
@@ -240,7 +242,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, precision: float = 0.
         for frame, (ce, letter) in zip(frames, model.entropies(list(f["text"]) for f in frames), strict=True):
             yield pd.DataFrame({"lang": frame["lang"], "ce": list(ce)})[letter]
 
-    checked = [r for r in sample.where("fold = 0").select("lang", "text").mapInPandas(tried, "lang string, ce array<double>").collect() if r["lang"] in model.languages]
+    # Where no row is left to learn from but those that calibrate, nothing is calibrated.
+    tries = sample.where("fold = 0").select("lang", "text").mapInPandas(tried, "lang string, ce array<double>").collect() if rows else []
+    checked = [r for r in tries if r["lang"] in model.languages]
     if checked:
         ce = np.array([r["ce"] for r in checked])
         true = np.array([model.languages.index(r["lang"]) for r in checked])

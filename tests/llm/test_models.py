@@ -98,3 +98,13 @@ def test_quality(spark):
 
 def test_isotonic():
     assert np.allclose(quality.isotonic(np.array([1.0, 3, 2, 4]), np.array([1.0, 1, 3, 1])), [1, 2.25, 2.25, 4])
+
+
+def test_languages_of_tables_of_one_fold(spark):
+    """Documents that all calibrate, one document, one language: no crash, and what was seen is learned."""
+    kinds = "doc_id long, text string, lang string"
+    for rows in ([(7, "only one text", "en")], [(i, f"text {i} of few", "en") for i in (7, 10, 14)], [(i, "one language alone", "de") for i in range(40)]):
+        model = langid.fit(spark.createDataFrame(rows, kinds))
+        found = model.identify(spark.createDataFrame([*rows, (99, "12 34", None), (98, None, None)], kinds)).collect()
+        assert model.languages == [rows[0][2]] and all(r.lang_pred == ("und" if r.doc_id in (98, 99) else rows[0][2]) for r in found)
+        assert all(0 <= r.score <= 1 for r in found) and len(found) == len(rows) + 2
