@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 from operator import itemgetter
 from zlib import crc32
 
@@ -34,8 +35,9 @@ from .common import batch_rows, load, release, stored
 
 LEAST, TOP, SCALE = 3, 200, 10**9
 #: Terms of one automaton (about 300 bytes each in a worker), bytes of padded text that a group of one reads at most
-#: about, rows a task keeps before it sends them on, pairs compared at once, groups of sources that are broadcast.
-SHARD, READ, KEEP, PAIRS, SMALL = 1_000_000, 16 << 20, 400_000, 1 << 20, 100_000
+#: about, terms of documents a task keeps before it sends them on, occurrences it keeps (8 bytes each, twice when they
+#: are sorted), pairs compared at once, groups of sources that are broadcast.
+SHARD, READ, KEEP, WAIT, PAIRS, SMALL = 1_000_000, 16 << 20, 400_000, 4_000_000, 1 << 20, 100_000
 
 #: Bytes: A-Z to a-z, other ASCII that is no letter to a space, the rest as it is.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -46,14 +48,6 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
-def _emptied(counts: dict, *kinds) -> pa.RecordBatch:
-    """Counters by key as one batch of (*key, term, n); they are emptied."""
-    keys = [(*k, t, n) for k, c in counts.items() for t, n in c.items()]
-    counts.clear()
-    names, columns = ["lang", "source", "term", "n"][-len(kinds) :], list(zip(*keys, strict=True)) or [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
 def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
     for part in parts:
         yield part["lang"].to_pylist(), part["source"].to_pylist(), part["text"].cast(pa.binary()).to_pylist()
@@ -64,12 +58,19 @@ def frequencies(docs: DataFrame) -> DataFrame:
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict = defaultdict(Counter)
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for lang, own in found.items():
+                columns = [pa.repeat(pa.scalar(lang), len(own)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "n"])
+            found.clear()
+
         for langs, _, texts in _batches(parts):
             for lang, text in zip(langs, texts, strict=True):
-                found[(lang,)].update(set(terms(text)))
+                found[lang].update(set(terms(text)))
                 if sum(map(len, found.values())) > KEEP:
-                    yield _emptied(found, pa.string(), pa.binary(), pa.int64())
-        yield _emptied(found, pa.string(), pa.binary(), pa.int64())
+                    yield from emptied()
+        yield from emptied()
         release()
 
     made = docs.mapInArrow(counted, "lang string, term binary, n long")
@@ -88,8 +89,30 @@ def automaton(kept: list[str]):
     return made
 
 
-def _occurrences(found, padded: str) -> Iterator[int]:
-    return map(itemgetter(1), found.iter(padded)) if len(found) else iter(())
+class _Occurrences:
+    """What a task found, as whole arrays: keys are the group's number times the terms of the automaton plus the term's."""
+
+    def __init__(self, found, tids: np.ndarray):
+        self.found, self.tids, self.groups, self.keys, self.size = found, tids, {}, [], 0
+
+    def read(self, lang: str, source: str, padded: str) -> Iterator[pa.RecordBatch]:
+        """Reads a text to its end; sends on what was found whenever WAIT occurrences are kept."""
+        if not len(self.found):
+            return
+        ends = map(itemgetter(1), self.found.iter(padded))
+        while len(ids := np.fromiter(islice(ends, WAIT), np.int64)):
+            self.keys.append(self.groups.setdefault((lang, source), len(self.groups)) * len(self.tids) + ids)
+            self.size += len(ids)
+            if self.size >= WAIT:
+                yield self.emptied()
+
+    def emptied(self) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(self.keys or [np.zeros(0, np.int64)]), return_counts=True)
+        group, term = np.divmod(keys, max(1, len(self.tids)))
+        named = list(zip(*self.groups, strict=True)) or [(), ()]
+        columns = [pa.array(names, pa.string()).take(pa.array(group)) for names in named]
+        self.groups, self.keys, self.size = {}, [], 0
+        return pa.RecordBatch.from_arrays([*columns, pa.array(self.tids[term]), pa.array(n.astype(np.int64))], names=["lang", "source", "tid", "n"])
 
 
 class _Held:
@@ -101,45 +124,35 @@ class _Held:
     def of(cls, key: str, packed) -> tuple:
         if cls.key != key:
             cls.made = None
-            names = [t for part in packed.value for t in zlib.decompress(part).decode("utf-8", "replace").split(" ")]
-            cls.made, cls.key = (automaton(names), names), key
+            names = [t for part, _ in packed.value for t in zlib.decompress(part).decode("utf-8", "replace").split(" ")]
+            tids = [np.frombuffer(zlib.decompress(part), np.int64) for _, part in packed.value]
+            cls.made, cls.key = (automaton(names), np.concatenate(tids or [np.zeros(0, np.int64)])), key
         return cls.made
 
 
-_OUT = "lang string, source string, term string, n long"
-_KINDS = (pa.string(), pa.string(), pa.string(), pa.int64())
+_OUT = "lang string, source string, tid long, n long"
 
 
 def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's terms as one compressed value."""
-    own = [t for part in parts for t in part["term"].to_pylist()]
-    if own:
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(" ".join(own).encode())], pa.binary())], names=["terms"])
-
-
-def _named(found: dict, kept: list[str]) -> pa.RecordBatch:
-    return _emptied({k: {kept[i]: n for i, n in c.items()} for k, c in found.items()}, *_KINDS)
+    """A task's terms and their numbers as two compressed values."""
+    made = pa.Table.from_batches(parts) if (parts := [p for p in parts if p.num_rows]) else None
+    if made:
+        both = " ".join(made["term"].to_pylist()).encode(), made["tid"].to_numpy().tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x)], pa.binary()) for x in both], names=["terms", "tids"])
 
 
 def _read_whole(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Occurrences by one automaton, which goes to every worker: `vocabulary` has at most SHARD terms."""
     # Packed in the tasks: the driver holds a few bytes a term and never its rows.
-    packed = [bytes(r["terms"]) for r in vocabulary.mapInArrow(_packed, "terms binary").collect()]
+    packed = [(bytes(r["terms"]), bytes(r["tids"])) for r in vocabulary.mapInArrow(_packed, "terms binary, tids binary").collect()]
     kept, key = docs.sparkSession.sparkContext.broadcast(packed), uuid.uuid4().hex
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (held, names), found, size = _Held.of(key, kept), defaultdict(Counter), 0
+        found = _Occurrences(*_Held.of(key, kept))
         for langs, sources, texts in _batches(parts):
             for lang, source, text in zip(langs, sources, texts, strict=True):
-                own = found[lang, source]
-                size -= len(own)
-                own.update(_occurrences(held, f" {b' '.join(terms(text)).decode('utf-8', 'replace')} "))
-                size += len(own)
-                if size > KEEP:
-                    yield _named(found, names)
-                    found.clear()
-                    size = 0
-        yield _named(found, names)
+                yield from found.read(lang, source, f" {b' '.join(terms(text)).decode('utf-8', 'replace')} ")
+        yield found.emptied()
         release()
 
     return docs.mapInArrow(counted, _OUT)
@@ -162,28 +175,29 @@ def _read_sharded(docs: DataFrame, vocabulary: DataFrame, shards: int, read: int
             cut = [(s, lang, source, t[i : i + 4096]) for (s, lang, source), t in got.items() for i in range(0, len(t), 4096)]
             rows = [(s, i % salts, lang, source, b" ".join(t).decode("utf-8", "replace")) for i, (s, lang, source, t) in enumerate(cut, crc32(texts[0]))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), *_KINDS[:3]), strict=True)], names=["shard", "salt", "lang", "source", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["shard", "salt", "lang", "source", "text"])
 
     texts = docs.mapInArrow(dealt, "shard int, salt int, lang string, source string, text string")
-    kept = vocabulary.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "term")
+    kept = vocabulary.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "term", "tid")
 
     def counted(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, found = right["term"].to_pylist(), defaultdict(Counter)
-        held = automaton(names)
-        for lang, source, text in zip(*(left[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
-            found[lang, source].update(_occurrences(held, f" {text} "))
-        return pa.Table.from_batches([_named(found, names)])
+        found = _Occurrences(automaton(right["term"].to_pylist()), right["tid"].to_numpy())
+        texts = zip(*(left[c].to_pylist() for c in ("lang", "source", "text")), strict=True)
+        made = [batch for lang, source, text in texts for batch in found.read(lang, source, f" {text} ")]
+        return pa.Table.from_batches([*made, found.emptied()])
 
     return texts.groupBy("shard", "salt").cogroup(kept.groupBy("shard", "salt")).applyInArrow(counted, _OUT)
 
 
 def occurrences(docs: DataFrame, kept: DataFrame, shard: int = SHARD, read: int = READ) -> DataFrame:
     """(lang, source, term, n): how often each kept(lang, term) occurs in the groups that hold it."""
-    vocabulary = stored(kept.select("term").distinct(), "vocabulary")
+    # Terms travel as numbers, which are fixed once the table is written.
+    vocabulary = stored(kept.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "vocabulary")
     shards = max(1, -(-vocabulary.count() // shard))
     made = _read_whole(docs, vocabulary) if shards == 1 else _read_sharded(docs, vocabulary, shards, read)
-    # Terms that another language keeps leave here.
-    return made.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    # Terms that only another language keeps leave here.
+    named = kept.select("lang", "term").join(vocabulary, "term")
+    return made.groupBy("lang", "source", "tid").agg(F.sum("n").alias("n")).join(named, ["lang", "tid"]).select("lang", "source", "term", "n")
 
 
 def share(count: np.ndarray, whole: np.ndarray) -> np.ndarray:
