@@ -11,7 +11,8 @@ from __future__ import annotations
 import functools
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +32,18 @@ TABLES = {
     "report_records": ("id long, report_id string, source_ids array<string>, original_number int, raw_text string, status string, reason_code string, reason_message string, question_ids array<long>, api_attempted boolean", ["id"], []),
 }
 NEW_BANK = "新题库"
+#: Entries of the manifest that are no tables: the newest generation of an operation.
+_GENERATION = "generation of "
 
 
 class Conflict(Exception):
     """Another commit changed the named tables after they were read."""
 
 
+class Stale(Exception):
+    """A newer operation of the same name began: the older one's results are not taken."""
+
+
 def _again(change):
     """A change that starts anew, from what the tables then hold, where another commit came between; five times at most."""
 
@@ -69,6 +76,7 @@ class Store:
         self.spark, self.path, self.clock = spark, path.rstrip("/"), clock or (lambda: int(time.time() * 1000))
         self._seen: dict[str, str | None] = {}  # the versions that a change has read
         self._inside = False
+        self._fence: tuple[str, int] | None = None
 
     # Versions -------------------------------------------------------------------------------------------------------
 
@@ -107,7 +115,7 @@ class Store:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{version}") if version else self.spark.createDataFrame([], schema)
 
     def commit(self, changes: dict[str, DataFrame]) -> None:
-        """New contents of some tables, all or none.
+        """New contents of some tables, all or none; Stale is raised, and nothing left, where `under` an outdated fence.
 
         The manifest's file is created exclusively. Where another commit took the number, this one goes behind it, unless
         that one changed a table which this one read before: then Conflict is raised and nothing changes.
@@ -118,21 +126,57 @@ class Store:
             columns = self.spark.createDataFrame([], TABLES[name][0]).schema
             df.select(*[F.col(c.name).cast(c.dataType) if c.name in df.columns else F.lit(None).cast(c.dataType).alias(c.name) for c in columns]).write.parquet(f"{self.path}/{name}/{version}")
             written[name] = version
+        try:
+            self._publish(lambda now: written)
+        except Stale:
+            hadoop, folder, fs = self._files()
+            for name, version in written.items():
+                fs.delete(hadoop.Path(f"{self.path}/{name}/{version}"), True)
+            raise
+
+    def _publish(self, added: Callable[[dict], dict]) -> dict:
+        """A new manifest with what `added` makes of the newest one; what it added."""
         hadoop, folder, fs = self._files()
         while True:
             number, now = self._manifest(patience=25)
+            if self._fence and int(now.get(_GENERATION + self._fence[0], 0)) != self._fence[1]:
+                raise Stale(f"{self._fence[0]} {self._fence[1]}: {now.get(_GENERATION + self._fence[0])} has begun since")
             if any(now.get(name) != version for name, version in self._seen.items()):
                 raise Conflict(sorted(name for name, version in self._seen.items() if now.get(name) != version))
+            new = added(now)
             try:
                 out = fs.create(hadoop.Path(folder, f"{number:012d}.json"), False)
             except Exception:
                 if self._manifest()[0] == number:
                     raise
                 continue
-            out.write(bytearray(json.dumps(now | written).encode()))
+            out.write(bytearray(json.dumps(now | new).encode()))
             out.close()
             self._seen.clear()
-            return
+            return new
+
+    def begin(self, operation: str) -> tuple[str, int]:
+        """The fence of a new operation of that name; those that began before can commit nothing under theirs."""
+        name = _GENERATION + operation
+        # It reads no table, so it neither conflicts with what this store has read nor forgets it.
+        held, self._fence, self._seen = (self._fence, self._seen), None, {}
+        try:
+            return operation, int(self._publish(lambda now: {name: str(int(now.get(name, 0)) + 1)})[name])
+        finally:
+            self._fence, self._seen = held
+
+    @contextmanager
+    def under(self, fence: tuple[str, int]) -> Iterator[Store]:
+        """Commits inside are taken only while the fence's operation is the newest of its name; else they raise Stale.
+
+        The fence is compared in the commit itself, beside the exclusive creation of the manifest, so nothing of a stale
+        operation is ever read, however long it took and from wherever the newer one began.
+        """
+        held, self._fence = self._fence, fence
+        try:
+            yield self
+        finally:
+            self._fence = held
 
     # Changes --------------------------------------------------------------------------------------------------------
 

@@ -1,12 +1,14 @@
 """The store: imports, practice, deletion with what belongs to it, and rolled back failures."""
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quillspark.operators import practice as P
 from quillspark.operators import standard as S
 from quillspark.operators import store as K
 from quillspark.sources import model
+from quillspark.streaming import practice as T
 from tests.test_standard import frame, paragraphs
 
 
@@ -74,6 +76,51 @@ def test_commits_do_not_lose_each_other(spark, tmp_path):
     assert one.table("banks").count() == 3 and one.create_bank("w") == 4
 
 
+def test_a_slower_older_operation_writes_nothing(spark, tmp_path):
+    one, two = K.Store(spark, str(tmp_path), clock=lambda: 1), K.Store(spark, str(tmp_path), clock=lambda: 1)
+    older = one.begin("import")
+    with one.under(older):
+        assert one.create_bank("while it was the newest") == 1
+    newer = two.begin("import")
+    folders = lambda: sorted(p.name for t in ("banks", "questions") for p in (tmp_path / t).glob("*"))
+    before = folders()
+    with pytest.raises(K.Stale), one.under(older):
+        one.create_bank("late", spark.createDataFrame([(0, "Q")], "index int, question string"))
+    assert folders() == before and (older[1], newer[1]) == (1, 2)
+    with two.under(newer):
+        assert two.create_bank("new") == 2
+    # Operations of other names, and changes of no operation, are not held up.
+    with one.under(one.begin("retry")):
+        assert one.create_bank("other") == 3
+    assert one.create_bank("free") == 4
+    # An operation that begins between a read and its commit neither hides nor makes a conflict.
+    stale = one.table("banks")
+    two.begin("import")
+    one.commit({"banks": stale.where("id < 4")})
+    stale = one.table("banks")
+    two.create_bank("between")
+    one.begin("import")
+    with pytest.raises(K.Conflict):
+        one.commit({"banks": stale})
+
+
+def test_stale_batches_of_a_stream_are_refused(spark, tmp_path):
+    s = K.Store(spark, str(tmp_path / "store"), clock=lambda: 1)
+    events = "question_id long, bank_id long, selected array<string>, is_correct boolean, answered_at long"
+    spark.createDataFrame([(1, 1, ["A"], True, 5)], events).write.parquet(str(tmp_path / "in"))
+    fence = s.begin("submit")
+    s.begin("submit")
+
+    def write(batch):
+        with s.under(fence):
+            s.submit(batch)
+
+    query = T.into_store(spark.readStream.schema(events).parquet(str(tmp_path / "in")), write, str(tmp_path / "check"))
+    with pytest.raises(StreamingQueryException, match="Stale"):
+        query.awaitTermination(60)
+    assert s.table("attempts").count() == 0
+
+
 def test_seed_only_once_and_clear(spark, tmp_path):
     s, rows = K.Store(spark, str(tmp_path), clock=lambda: 1), spark.createDataFrame([(0, "Q")], "index int, question string")
     s.seed(rows)
