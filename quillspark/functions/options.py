@@ -52,10 +52,13 @@ def sequential_markers(text: Column) -> Column:
 
 def inline_options(text: Column) -> Column:
     """(leading, options array of (key, text)) of a line that holds at least two options in order, else null."""
-    marks = sequential_markers(text)
-    own = F.transform(marks, lambda m, i: F.struct(m["key"].alias("key"), T.trim(_between(text, m["end"], F.coalesce(F.get(marks, i + 1)["start"], F.length(text)))).alias("text")))
-    kept = F.filter(own, lambda o: o["text"] != "")
-    return F.when((F.size(marks) >= 2) & (F.size(kept) >= 2), F.struct(T.trim(_between(text, F.lit(0), F.get(marks, F.lit(0))["start"])).alias("leading"), kept.alias("options")))
+
+    def split(marks: Column) -> Column:
+        own = F.transform(marks, lambda m, i: F.struct(m["key"].alias("key"), T.trim(_between(text, m["end"], F.coalesce(F.get(marks, i + 1)["start"], F.length(text)))).alias("text")))
+        leading = T.trim(_between(text, F.lit(0), F.get(marks, F.lit(0))["start"])).alias("leading")
+        return T.once(F.filter(own, lambda o: o["text"] != ""), lambda kept: F.when((F.size(marks) >= 2) & (F.size(kept) >= 2), F.struct(leading, kept.alias("options"))))
+
+    return T.once(sequential_markers(text), split)
 
 
 def option_from_raw(raw: Column, fallback: Column) -> Column:

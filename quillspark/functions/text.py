@@ -39,6 +39,11 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\r\n|\n|\r"), trim), lambda x: x != "")
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that it names many times, worked out once a row: an expression alone would be evaluated at each mention."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def group(c: Column, pattern: str, n: int = 1) -> Column:
     """A group of the first match, null where the pattern does not match."""
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, n))
