@@ -48,26 +48,22 @@ def counters(numbered: DataFrame, levels: DataFrame, depth: int = MAX_LEVEL) ->
     A row's counter counts the rows of its level since the last row of a lower one, in the same list. An ancestor's
     value is its last counter while no lower level came between, else its start. depth bounds the levels that occur.
     """
-    levels = levels.select("doc_id", "num_id", "level", "num_fmt", "lvl_text", F.coalesce("start", F.lit(1)).alias("start"))
-    own = levels.withColumnsRenamed({"num_fmt": "_fmt", "lvl_text": "_template", "start": "_start"})
-    rows = numbered.join(own, ["doc_id", "num_id", "level"], "left")
+    # All windows share one order, so that a list is sorted once.
     order = Window.partitionBy("doc_id", "num_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_below{k}": F.count_if(F.col("level") < k).over(order) for k in range(depth)})
-    below = F.element_at(F.array(*[f"_below{k}" for k in range(depth)]), F.least(F.col("level"), F.lit(depth - 1)) + 1)
-    island = Window.partitionBy("doc_id", "num_id", "level", "_island").orderBy("ordinal")
-    rows = rows.withColumn("_island", below).withColumn("counter", F.row_number().over(island) + F.coalesce("_start", F.lit(1)) - 1)
-    for k in range(depth):
-        since = Window.partitionBy("doc_id", "num_id", f"_below{k}").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn(f"_value{k}", F.last(F.when(F.col("level") == k, F.col("counter")), ignorenulls=True).over(since))
-    wide = levels.groupBy("doc_id", "num_id").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("num_fmt", "start")))).alias("_levels"))
+    rows = numbered.withColumns({f"_n{k}": F.count_if(F.col("level") == k).over(order) for k in range(depth)})
+    reset = lambda k: F.last(F.when(F.col("level") < k, F.col(f"_n{k}")), ignorenulls=True).over(order)
+    rows = rows.select(*numbered.columns, F.array(*[(F.col(f"_n{k}") - F.coalesce(reset(k), F.lit(0))).cast("int") for k in range(depth)]).alias("_seen"))
+    wide = levels.groupBy("doc_id", "num_id").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("num_fmt", "lvl_text", F.coalesce("start", F.lit(1)).alias("start"))))).alias("_levels"))
     rows = rows.join(wide, ["doc_id", "num_id"], "left")
-    values = []
+    own, values = F.try_element_at("_levels", F.col("level")), []
     for k in range(depth):
-        level = F.element_at("_levels", F.lit(k))
+        level, seen = F.try_element_at("_levels", F.lit(k)), F.get("_seen", F.lit(k))
+        start = F.coalesce(level["start"], F.lit(1))
         # a level deeper than the row's has been reset
-        value = F.coalesce(F.when(F.col("level") >= k, F.col(f"_value{k}")), level["start"], F.lit(1))
+        value = F.when((F.col("level") >= k) & (seen > 0), seen + start - 1).otherwise(start)
         values.append(T.rendered_number(value, F.coalesce(level["num_fmt"], F.lit("decimal"))))
-    return rows.select(*numbered.columns, "counter", T.expanded_template(F.col("_template"), values).alias("display_text"))
+    counter = F.get("_seen", F.col("level")) + F.coalesce(own["start"], F.lit(1)) - 1
+    return rows.select(*numbered.columns, counter.alias("counter"), T.expanded_template(own["lvl_text"], values).alias("display_text"))
 
 
 def extract(docs: DataFrame) -> DataFrame:
