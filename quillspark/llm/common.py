@@ -57,6 +57,15 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Removes a table that `stored` wrote, once nothing that is still to run reads it."""
+    folders = {name.rsplit("/", 1)[0] for name in table.inputFiles()}
+    context = table.sparkSession.sparkContext
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -115,6 +124,7 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         least = minimum(both).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         star = large.join(minimum(large), "a")
-        now = stored(star.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct(), "edges")
+        last, now = now, stored(star.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct(), "edges")
+        forget(last)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(roots)

@@ -1,15 +1,17 @@
-"""Near-duplicates by exact similarity of word shingles: a prefix-filtered set join.
+"""Near-duplicates by SimHash and by exact similarity of word shingles.
 
 Texts whose sets of five-word shingles (XXH64 of lower-cased words) have a Jaccard similarity of ``overlap`` or more are
-linked; no such pair is missed:
+linked. Those whose fingerprints differ in at most four bits are found by `simhash` (generalised pigeonhole) and checked
+exactly; most similar ones have fingerprints further apart, and a prefix-filtered set join misses none of these:
 
-1. Equal sets become one class, so a group of copies is compared once.
+1. Equal sets become one class, so a group of copies is compared once. What passes by fingerprints is not compared again.
 2. All sets are put in one order, rare shingles first. A bounded sample of texts tells the common ones; the order only
    changes the cost. Sets of a and b shingles that are linked share at least overlap (a + b) / (1 + overlap), so one of
    the first of each that leave fewer than that, and differ in size by at most 1 / overlap: an equi-join on (shingle,
    size class) in which each pair's own sizes tell how far its first shingles go.
-3. A pair stays a candidate if what follows the last shingle it shares there could still reach the overlap. Candidates
-   are verified on the whole sets.
+3. A pair stays a candidate if what follows the last shingle it shares there could still reach the overlap, and if the
+   parities of its sets' shingles by their low bits differ in no more places than the sets may. Such candidates are
+   verified on the whole sets.
 4. Shingles that many sets start with are first compared as stars around the least changed set; what these unite is not
    compared again, so a group of near copies doesn't make all its pairs.
 
@@ -24,10 +26,11 @@ from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, release, stored, text_batches
+from . import simhash
+from .common import components, forget, release, stored, text_batches
 from .simhash import first_rows
 
 WORDS, OVERLAP, SEED = 5, 0.8, 42
@@ -82,43 +85,74 @@ def common(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarr
     return keys[order], found["n"].to_numpy(np.int64)[order]
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of hashes have the low bits i; there are at least as many bits as hashes."""
+    bits = max(1024, 1 << max(0, len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(text, order, words: int):
-    """Struct column of each text's class and its shingles in the common order."""
+    """Struct column of each text's class, its fingerprint, its parities and its shingles in the common order."""
 
-    @F.pandas_udf("class_id long, shingles array<long>")
+    @F.pandas_udf("class_id long, fp long, bits array<long>, shingles array<long>")
     def made(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         keys, counts = order.value
         for texts in parts:
-            ids, sets = [], []
+            ids, bits, sets = [], [], []
             for t in texts:
                 own = hashes(t, words)
                 ids.append(_class(own))
+                bits.append(parities(own))
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
                 sets.append(own.view(np.int64))
-            yield pd.DataFrame({"class_id": ids, "shingles": sets})
+            yield pd.DataFrame({"class_id": ids, "fp": simhash.fingerprints(list(texts)).view(np.int64), "bits": bits, "shingles": sets})
         release()
 
     return made(text)
 
 
+def _least(na, nb, overlap: float):
+    """Column: how many shingles similar sets of na and nb share at least."""
+    return F.ceil((na + nb) * (overlap / (1 + overlap)) - EPS)
+
+
+def _apart(a: str, b: str):
+    """Column: in how many places two sets' parities differ, the longer ones folded to the shorter. Sets differ in as many
+    shingles or more."""
+    size = F.least(F.size(a), F.size(b))
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), size), F.slice(c, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+    fold = lambda c: F.when(F.size(c) == 2 * size, half(c)).otherwise(F.col(c))
+    odd = F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.when(F.greatest(F.size(a), F.size(b)) > 2 * size, 0).otherwise(F.aggregate(odd, F.lit(0), lambda n, x: n + x))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, overlap: float) -> DataFrame:
-    """Those of pairs(a, b) whose whole sets are similar."""
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    """Those of pairs(a, b, na, nb) whose whole sets are similar."""
+    pairs = stored(pairs.select("a", "b", "na", "nb").distinct(), "pairs")
+    few = sets.groupBy("class_id").agg(F.any_value("bits").alias("bits"))
+    few = few.join(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), "class_id", "left_semi")
+    bits = lambda c: few.select(F.col("class_id").alias(c), F.col("bits").alias(f"of_{c}"))
+    most = F.col("na") + F.col("nb") - 2 * _least(F.col("na"), F.col("nb"), overlap)
+    whole, pairs = pairs, stored(pairs.join(bits("a"), "a").join(bits("b"), "b").where(_apart("of_a", "of_b") <= most).select("a", "b"), "pairs")
+    forget(whole)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
     own = sets.join(wanted, "class_id", "left_semi").groupBy("class_id").agg(F.any_value("shingles").alias("shingles"))
     side = lambda c: own.select(F.col("class_id").alias(c), F.col("shingles").alias(f"of_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     total = F.size("of_a") + F.size("of_b")
-    return stored(both.where(shared * (1 + overlap) >= overlap * total - EPS).select("a", "b"), "similar")
+    similar = stored(both.where(shared * (1 + overlap) >= overlap * total - EPS).select("a", "b"), "similar")
+    forget(pairs)
+    return similar
 
 
 def _early(na, at, nb, bt, overlap: float):
     """Column: places at and bt of a shared shingle are among the first of which sets of na and nb shingles, if similar, must
     share one. Similar sets share at least `least`; all but the first n - least + 1 are fewer than that."""
-    least = F.ceil((na + nb) * (overlap / (1 + overlap)) - EPS)
+    least = _least(na, nb, overlap)
     return (F.least(na, nb) >= F.greatest(na, nb) * overlap - EPS) & (at <= na - least) & (bt <= nb - least)
 
 
@@ -139,20 +173,30 @@ def _stars(met: DataFrame, sets: DataFrame, overlap: float) -> DataFrame:
     return _verified(tried.join(roots, ["key", "sizes"]).where(near), sets, overlap)
 
 
+def _near(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) of classes of sets(class_id, fp, shingles) whose fingerprints `simhash` links."""
+    own = stored(sets.select("class_id", "fp", F.size("shingles").alias("n")).distinct(), "fingerprints")
+    named = stored(own.groupBy("fp").agg(F.min(F.struct("class_id", "n")).alias("first")), "named")
+    side = lambda by, c: named.select(F.col("fp").alias(by), F.col("first.class_id").alias(c), F.col("first.n").alias(f"n{c}"))
+    equal = own.select("fp", F.col("class_id").alias("a"), F.col("n").alias("na")).join(side("fp", "b"), "fp").where("a <> b")
+    near = simhash.links(named.select("fp")).toDF("x", "y").join(side("x", "a"), "x").join(side("y", "b"), "y")
+    return equal.select("a", "b", "na", "nb").unionByName(near.select("a", "b", "na", "nb"))
+
+
 def links(sets: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """Pairs (a, b) of classes of sets(class_id, shingles) that keep all components of the similar ones."""
+    """Pairs (a, b) of classes of sets(class_id, fp, bits, shingles) that keep all components of the similar ones."""
     n = F.size("shingles")
     size = n - F.ceil(n * overlap - EPS).cast("int") + 1
     firsts = sets.where(n > 0).select("class_id", n.alias("n"), F.slice("shingles", F.lit(1), size).alias("keys"))
     firsts = firsts.groupBy("class_id").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     members = firsts.select("class_id", "n", F.floor(F.log(F.col("n")) / F.lit(log(1 / overlap))).cast("int").alias("sizes"), F.posexplode("keys").alias("at", "key"))
-    members = stored(members, "keys")
-    met = stored(members.join(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "met")
-    found = _stars(met, sets, overlap)
+    met = stored(members.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "met")
+    found = _verified(_near(sets), sets, overlap).unionByName(_stars(met, sets, overlap))
     label = components(found).select(F.col("node").alias("class_id"), F.col("component").alias("label"))
     met = met.join(label, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
     several = met.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    met = stored(met.join(several, "key", "left_semi"), "open")
+    before, met = met, stored(met.join(several, "key", "left_semi"), "open")
+    forget(before)
     # A smaller set shares one of fewer first shingles.
     smaller = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * overlap / (1 + overlap)) - EPS)
     left = met.where(smaller).select("key", F.explode(F.array("sizes", F.col("sizes") + 1)).alias("sizes"), F.col("class_id").alias("a"), F.col("n").alias("na"), "at", F.col("label").alias("la"))
@@ -163,8 +207,9 @@ def links(sets: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     shared = left.join(right, ["key", "sizes"]).where(near).groupBy("a", "b", "na", "nb").agg(*counts)
     # What a pair shares besides comes after the last of these shingles in both sets.
     after = F.least(F.col("na") - F.col("at"), F.col("nb") - F.col("bt")) - 1
-    least = F.ceil((F.col("na") + F.col("nb")) * (overlap / (1 + overlap)) - EPS)
+    least = _least(F.col("na"), F.col("nb"), overlap)
     similar = _verified(shared.where(F.col("c") + after >= least), sets, overlap)
+    forget(met)
     return found.unionByName(similar)
 
 
@@ -173,9 +218,10 @@ def deduplicate(docs: DataFrame, text: str = "text", words: int = WORDS, overlap
     text_batches(docs.sparkSession, 200)
     order = docs.sparkSession.sparkContext.broadcast(common(docs, text, words))
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    sets = stored(rows.select("row.doc_id", _sets(F.col("row")[text], order, words).alias("s")).select("doc_id", "s.class_id", "s.shingles"), "shingles", "none")
-    marked = sets.select("doc_id", F.col("class_id").alias("fp"))
+    sets = stored(rows.select("row.doc_id", _sets(F.col("row")[text], order, words).alias("s")).select("doc_id", "s.*"), "shingles", "none")
+    marked = stored(sets.select("doc_id", F.col("class_id").alias("fp")), "marked")
     named = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    member = components(links(sets.select("class_id", "shingles"), overlap)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    member = components(links(sets.drop("doc_id"), overlap)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     groups = named.join(member, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    forget(sets)
     return first_rows(rows, marked, groups, class_id(F.col("row")[text], words))

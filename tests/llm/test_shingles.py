@@ -60,3 +60,23 @@ def test_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (1, "f g h i j"), (None, "f G h i j"), (None, "k")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in shingles.deduplicate(docs).collect()) == [(0, "k"), (1, "a b c d e"), (1, "f g h i j")]
     assert shingles.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_come_first(spark, texts, monkeypatch):
+    from quillspark.llm import simhash
+
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: seen.append(1) or links(*a))
+    docs = spark.createDataFrame(texts[:20], "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.deduplicate(docs).collect()) == firsts(texts[:20]) and seen
+
+
+def test_parities_never_differ_in_more_places_than_sets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 3, 1000, 1030, 5000)]
+    sets += [np.unique(np.concatenate([sets[2], sets[1], rng.integers(0, 1 << 63, 40, dtype=np.uint64)]))]
+    rows = [(shingles.parities(x).tolist(), shingles.parities(y).tolist(), len(np.setxor1d(x, y))) for x in sets for y in sets]
+    found = spark.createDataFrame(rows, "a array<long>, b array<long>, n int").select(shingles._apart("a", "b").alias("m"), "n").collect()
+    assert all(r.m <= r.n for r in found) and any(r.m > 30 for r in found)
