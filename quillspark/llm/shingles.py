@@ -14,6 +14,10 @@ exactly; most similar ones have fingerprints further apart, and a prefix-filtere
    verified on the whole sets.
 4. Shingles that many sets start with are first compared as stars around the least changed set; what these unite is not
    compared again, so a group of near copies doesn't make all its pairs.
+5. What still shares such a shingle is compared in blocks of whole sets against blocks. Each set has a hub, its most
+   frequent first shingle, and hubs meet if some shingle has sets of both. A block pair emits at most a forest over what
+   it links, so candidates of a large group of not quite similar texts never become rows; the pairs of blocks grow with
+   the square of such a group, their memory does not.
 
 Defined cases: null or empty texts are one class; texts below the shingle's words are one shingle; an empty table gives
 no rows.
@@ -35,6 +39,7 @@ from .simhash import first_rows
 
 WORDS, OVERLAP, SEED = 5, 0.8, 42
 HOT, SHARE, SAMPLE, COMMON, TRIES, EPS = 64, 8, 40_000, 500_000, 16, 1e-9
+BLOCK, CELLS = 512, 500_000
 
 
 def hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -173,6 +178,84 @@ def _stars(met: DataFrame, sets: DataFrame, overlap: float) -> DataFrame:
     return _verified(tried.join(roots, ["key", "sizes"]).where(near), sets, overlap)
 
 
+def _close(own: list[np.ndarray], left: np.ndarray, right: np.ndarray, overlap: float) -> np.ndarray:
+    """Places in left and right, nearest parities first, of the pairs of sets that sizes and parities leave possible."""
+    n = np.array([len(x) for x in own])
+    bits = [parities(x).view(np.uint64) for x in own]
+    width = np.array([len(x) for x in bits])
+    out = [np.zeros((3, 0), np.int64)]
+    for wide in np.unique(width[left]):
+        for other in np.unique(width[right]):
+            rows, cols = np.flatnonzero(width[left] == wide), np.flatnonzero(width[right] == other)
+            size = min(wide, other)
+            fold = lambda places: np.bitwise_xor.reduce(np.stack([bits[k] for k in places]).reshape(len(places), -1, size), axis=1)
+            b, nb = fold(right[cols]), n[right[cols]]
+            step = max(1, 2_000_000 // (len(cols) * size))
+            for at in range(0, len(rows), step):
+                a, na = fold(left[rows[at : at + step]]), n[left[rows[at : at + step]]][:, None]
+                apart = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+                most = na + nb - 2 * np.ceil((na + nb) * (overlap / (1 + overlap)) - EPS)
+                i, j = np.nonzero((np.minimum(na, nb) >= np.maximum(na, nb) * overlap - EPS) & (apart <= most))
+                out.append(np.stack([rows[at + i], cols[j], apart[i, j]]))
+    found = np.concatenate(out, axis=1)
+    return found[:2, np.argsort(found[2], kind="stable")]
+
+
+def _forest(ids: np.ndarray, labels: np.ndarray, own: list[np.ndarray], left: np.ndarray, right: np.ndarray, overlap: float) -> list[tuple[int, int]]:
+    """Links (a, b) of similar sets of left and right that unite all labels which such links connect."""
+    above, out = {}, []
+
+    def top(x: int) -> int:
+        while x in above:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    pairs = _close(own, left, right, overlap)
+    i, j = left[pairs[0]], right[pairs[1]]
+    twice = len(left) == len(right) == len(own)  # a block against itself
+    open_ = (labels[i] != labels[j]) & ((i < j) | (not twice))
+    for a, b in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
+        x, y = top(int(labels[a])), top(int(labels[b]))
+        if x == y:
+            continue
+        total = len(own[a]) + len(own[b])
+        shared = total - len(np.unique(np.concatenate([own[a], own[b]])))
+        if shared * (1 + overlap) >= overlap * total - EPS:
+            above[x] = y
+            out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def _crowded(met: DataFrame, sets: DataFrame, overlap: float) -> DataFrame:
+    """Pairs (a, b) of similar sets that unite all labels of met(class_id, n, key, m, label) which similar sets sharing a
+    hot shingle connect: blocks of whole sets against blocks."""
+    hot = met.where(f"m > {HOT}")
+    own = hot.groupBy("class_id").agg(F.max(F.struct("m", "key")).alias("hub"), F.any_value("n").alias("n"), F.any_value("label").alias("label"))
+    own = stored(own.select("class_id", "n", "label", F.col("hub.key").alias("hub")), "hubs")
+    homes = hot.select("key", "class_id").join(own.select("class_id", "hub"), "class_id").select("key", "hub").distinct()
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(CELLS))).cast("int")
+    size = own.groupBy("hub").agg(blocks.alias("blocks"))
+    meet = homes.join(homes.withColumnRenamed("hub", "other"), "key").select("hub", "other").distinct()
+    meet = stored(meet.join(size, "hub").join(size.toDF("other", "others"), "other"), "meetings")
+    block = F.pmod(F.xxhash64(F.lit(11), "class_id"), F.col("blocks")).cast("int")
+    dealt = own.join(meet, "hub").withColumn("own", block).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    # A pair of blocks goes by its lesser one: side 0 is that one, side 1 the other, and 2 a block against itself.
+    mine, their = F.struct("hub", F.col("own").alias("block")), F.struct(F.col("other").alias("hub"), F.col("theirs").alias("block"))
+    dealt = dealt.select("class_id", "label", F.least(mine, their).alias("i"), F.greatest(mine, their).alias("j"), F.when(mine == their, 2).when(mine < their, 0).otherwise(1).alias("side"))
+    whole = sets.join(own.select("class_id"), "class_id", "left_semi").groupBy("class_id").agg(F.any_value("shingles").alias("shingles"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        side, every = frame["side"].to_numpy(), [np.asarray(x, np.int64).view(np.uint64) for x in frame["shingles"]]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        found = _forest(frame["class_id"].to_numpy(), frame["label"].to_numpy(), every, left, right, overlap) if len(left) and len(right) else []
+        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64")
+
+    found = stored(dealt.join(whole, "class_id").groupBy("i", "j").applyInPandas(compare, "a long, b long"), "crowded")
+    forget(own)
+    forget(meet)
+    return found
+
+
 def _near(sets: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) of classes of sets(class_id, fp, shingles) whose fingerprints `simhash` links."""
     own = stored(sets.select("class_id", "fp", F.size("shingles").alias("n")).distinct(), "fingerprints")
@@ -197,6 +280,7 @@ def links(sets: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     several = met.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
     before, met = met, stored(met.join(several, "key", "left_semi"), "open")
     forget(before)
+    crowded, met = _crowded(met, sets, overlap), met.where(f"m <= {HOT}")
     # A smaller set shares one of fewer first shingles.
     smaller = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * overlap / (1 + overlap)) - EPS)
     left = met.where(smaller).select("key", F.explode(F.array("sizes", F.col("sizes") + 1)).alias("sizes"), F.col("class_id").alias("a"), F.col("n").alias("na"), "at", F.col("label").alias("la"))
@@ -205,12 +289,12 @@ def links(sets: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     near = (F.col("la") != F.col("lb")) & later & _early(F.col("na"), F.col("at"), F.col("nb"), F.col("bt"), overlap)
     counts = [F.count("*").alias("c"), F.max("at").alias("at"), F.max("bt").alias("bt")]
     shared = left.join(right, ["key", "sizes"]).where(near).groupBy("a", "b", "na", "nb").agg(*counts)
-    # What a pair shares besides comes after the last of these shingles in both sets.
+    # What a pair shares besides comes after the last of these shingles in both sets. One that shares a hot shingle is crowded.
     after = F.least(F.col("na") - F.col("at"), F.col("nb") - F.col("bt")) - 1
     least = _least(F.col("na"), F.col("nb"), overlap)
     similar = _verified(shared.where(F.col("c") + after >= least), sets, overlap)
     forget(met)
-    return found.unionByName(similar)
+    return found.unionByName(crowded).unionByName(similar)
 
 
 def deduplicate(docs: DataFrame, text: str = "text", words: int = WORDS, overlap: float = OVERLAP) -> DataFrame:

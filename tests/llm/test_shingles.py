@@ -80,3 +80,44 @@ def test_parities_never_differ_in_more_places_than_sets(spark):
     rows = [(shingles.parities(x).tolist(), shingles.parities(y).tolist(), len(np.setxor1d(x, y))) for x in sets for y in sets]
     found = spark.createDataFrame(rows, "a array<long>, b array<long>, n int").select(shingles._apart("a", "b").alias("m"), "n").collect()
     assert all(r.m <= r.n for r in found) and any(r.m > 30 for r in found)
+
+
+def changed(n, seed):
+    """One text n times with 2 to 6 words changed: most pairs are close to the overlap, few reach it."""
+    rng = random.Random(seed)
+    base, out = [f"b{i}" for i in range(120)], []
+    for i in range(n):
+        own = list(base)
+        for k in range(rng.randrange(2, 7)):
+            own[rng.randrange(120)] = f"n{i}x{k}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("block", [512, 20])
+def test_a_group_does_not_make_all_its_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(shingles, "BLOCK", block, raising=False)
+    tried, verified = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, *a: tried.append(pairs.select("a", "b").distinct().count()) or verified(pairs, *a))
+    rows = changed(450, 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.deduplicate(docs).collect()) == firsts(rows)
+    assert sum(tried) <= len(rows), tried
+
+
+def test_blocks_link_what_is_similar():
+    import numpy as np
+
+    rng, own = np.random.default_rng(4), []
+    for n in (40, 1000, 1040, 5000):  # parities of 1024, 2048 and 8192 bits
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for _ in range(12):
+            keep = base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.15])]
+            own.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, int(n * rng.choice([0, 0.05, 0.1])), dtype=np.uint64)])))
+    ids, every = np.arange(len(own)), np.arange(len(own))
+    similar = lambda a, b: 9 * len(np.intersect1d(own[a], own[b])) >= 4 * (len(own[a]) + len(own[b]))
+    for left, right in ((every, every), (every[::2], every[1::2])):
+        links = shingles._forest(ids, ids, own, left, right, 0.8)
+        wanted = [(a, b) for a in left.tolist() for b in right.tolist() if a != b and similar(a, b)]
+        assert all(similar(a, b) for a, b in links) and len(links) < len(own)
+        assert set(united(len(own), links)) == set(united(len(own), wanted)) and 20 < len(wanted) < len(own) ** 2 / 4
