@@ -113,9 +113,9 @@ def grouped_bits(on: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def _near(on: np.ndarray, part: list[int], most: int, pairs: np.ndarray) -> np.ndarray:
-    """Probability that two fingerprints differ in at most 0, 1, ... bits of the part."""
-    apart = (on[pairs[0]][:, part] != on[pairs[1]][:, part]).sum(1) if pairs.size else np.zeros(0)
+def _near(on: np.ndarray, part: list[int], most: int, differ: np.ndarray) -> np.ndarray:
+    """Probability that two fingerprints differ in at most 0, 1, ... bits of the part; differ: where sampled pairs do."""
+    apart = np.bitwise_count(differ & np.uint64(sum(1 << b for b in part)))
     law = np.zeros(most + 2)
     law[0] = 1.0
     for b in part:  # independent bits: a floor where the sample is too small to see near pairs
@@ -132,12 +132,15 @@ def allocate(on: np.ndarray, n: int, distance: int = DISTANCE, verify: float = 0
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, len(on), (2, 200_000)) if len(on) > 1 else np.zeros((2, 0), int)
     pairs = pairs[:, pairs[0] != pairs[1]]
+    # Packed: as floats, the pairs' bits took the driver some 300 MB whatever the input.
+    packed = np.packbits(on.astype(bool), axis=1, bitorder="little").view("<u8").ravel()
+    differ = packed[pairs[0]] ^ packed[pairs[1]]
     best = (np.inf, [])
     for m in range(1, min(most_parts, distance + 1) + 1):
         parts = grouped_bits(on, m)
         table = {0: (0.0, [])}
         for part in parts:
-            near, after = _near(on, part, distance, pairs), {}
+            near, after = _near(on, part, distance, differ), {}
             for used, (cost, taken) in table.items():
                 for t in range(-1, distance - used + 1):
                     probes = sum(comb(len(part), k) for k in range(t + 1))

@@ -1,5 +1,7 @@
 """Near-duplicate search against all pairs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 import xxhash
@@ -60,6 +62,26 @@ def test_allocation_keeps_the_pigeonhole(n):
     assert sum(t + 1 for _, t in plan) == simhash.DISTANCE + 1 and len({b for p, _ in plan for b in p}) == sum(len(p) for p, _ in plan)
 
 
+def test_allocation_needs_little_of_the_drivers_memory():
+    on = np.random.default_rng(0).integers(0, 2, (simhash.SAMPLE, 64)).astype(float)
+    tracemalloc.start()
+    try:
+        simhash.allocate(on, 100_000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_near_pairs_of_a_part_are_counted_bit_by_bit():
+    on = (np.random.default_rng(0).random((200, 64)) < 0.02).astype(float)
+    pairs, part = np.random.default_rng(1).integers(0, 200, (2, 500)), [0, 7, 8, 31, 32, 63]
+    packed = np.array([sum(1 << b for b in np.flatnonzero(row).tolist()) for row in on], dtype=np.uint64)
+    apart = (on[pairs[0]][:, part] != on[pairs[1]][:, part]).sum(1)
+    got = simhash._near(on, part, 4, packed[pairs[0]] ^ packed[pairs[1]])
+    assert (apart == 1).any() and all(got[t] >= (apart <= t).mean() for t in range(5)) and got[4] == 1.0 == (apart <= 4).mean()
+
+
 def test_one_document_of_each_group_stays(spark, corpus):
     docs = corpus.withColumnRenamed("lang", "fp").withColumnRenamed("source", "row")
     kept = simhash.deduplicate(docs)
