@@ -121,3 +121,28 @@ def test_blocks_link_what_is_similar():
         wanted = [(a, b) for a in left.tolist() for b in right.tolist() if a != b and similar(a, b)]
         assert all(similar(a, b) for a, b in links) and len(links) < len(own)
         assert set(united(len(own), links)) == set(united(len(own), wanted)) and 20 < len(wanted) < len(own) ** 2 / 4
+
+
+def test_sets_do_not_go_where_they_have_no_partner(spark, monkeypatch):
+    """Texts that share frequent shingles and little else: their sets are neither all on disk at once nor copied a hub."""
+    monkeypatch.setattr(shingles, "HOT", 8)
+    monkeypatch.setattr(shingles, "COMMON", 0)
+    rng, rows = random.Random(3), []
+    lines = [[f"l{k}w{i}" for i in range(9)] for k in range(40)]
+    for i in range(300):  # some of 40 lines of nine words in 120 of a text's own
+        rows.append((i, " ".join([f"t{i}w{k}" for k in range(120)] + [w for line in rng.sample(lines, 8) for w in line])))
+    rows += [(300 + i, t.replace("w119", "z")) for i, t in rows[:20]]
+    held, stored = {}, shingles.stored
+
+    def seen(df, name, *compression):
+        table = stored(df, name, *compression)
+        longs = [c for c, kind in table.dtypes if c in ("shingles", "keys", "bits")]
+        held[name] = max(held.get(name, 0), sum(len(r[c]) for r in table.select(*longs).collect() for c in longs)) if longs else table.count()
+        return table
+
+    monkeypatch.setattr(shingles, "stored", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.deduplicate(docs).collect()) == firsts(rows)
+    every = sum(len(plain_shingles(t)) for _, t in rows)
+    assert "shingles" not in held and held["sets"] - 16 * len(rows) < 0.25 * every, held
+    assert held["hubs"] > 200 and held["meetings"] < 100 and held["whole"] < 0.3 * every, held
